@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import WS, stash
 
 #: Metric: least spread that a threshold allows beyond the upper quartile (and below the lower, where both sides count).
-SLACK = {"symbols": 0.02, "dup_lines": 0.15, "repeats": 0.15, "bangs": 0.05, "word_length": 1.5}
+SLACK = {"symbols": 0.02, "dup_lines": 0.35, "repeats": 0.25, "bangs": 0.05, "word_length": 1.5}
 TWO_SIDED = ("word_length",)
 #: Interquartile ranges beyond the quartile; rows that a group needs for thresholds of its own; relative error of the sketch.
 REACH, LEAST_ROWS, GAMMA = 4.0, 200, 1.02
