@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, language_id, pii, quality_rules, simhash_dedup, url_filter
+from . import benchmark_leaks, bwt_dedup, html_extract, language_id, mixing, pii, quality_classifier, quality_rules, simhash_dedup, url_filter
 from .common import table
 
 
@@ -14,6 +14,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.digest(simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -30,10 +42,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op5_simhash_dedup, op6_html_extract, op7_url_filter, op8_quality_rules, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_pii, op2_mixing, op3_benchmark_leaks, op4_bwt_dedup, op5_simhash_dedup,
+        op6_html_extract, op7_url_filter, op8_quality_rules, op9_quality_classifier, op10_language_id,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
