@@ -30,7 +30,7 @@ from .common import stash
 
 LENGTH, GRAM = 100, 40
 #: Windows for a bucket and shards in it; different windows of one anchor beyond which it is hot.
-BUCKET, SHARDS, HOT = 8_000, 8, 20_000
+BUCKET, SHARDS, HOT = 2_000, 4, 20_000
 #: Document ids up to this number are broadcast to pick the texts that are needed; more are joined.
 BROADCAST_IDS = 2_000_000
 _SPAN = LENGTH - GRAM + 1
@@ -155,8 +155,8 @@ def _batched_counts(batches):
 # --- transforms ---------------------------------------------------------------------------------
 
 
-def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, Burrows-Wheeler transform) of a shard by prefix doubling.
+def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array, Burrows-Wheeler transform, last-to-first mapping) of a shard, by growing prefixes.
 
     Symbols are bytes plus one, 0 ends a string; the ends are distinct and in the order of the strings.
     """
@@ -167,76 +167,106 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     rank[ends] = np.arange(ends.sum())
     step = 1
     while True:
-        key = rank * (2 * n + 512)
-        key[: n - step] += rank[step:]
-        order = np.argsort(key, kind="stable")
+        size = int(rank.max()) + 1
+        parts = max(2, min(4, 63 // size.bit_length()))  # as many ranks as a key of 63 bits holds
+        key = rank.copy()
+        for i in range(1, parts):
+            key *= size
+            if i * step < n:
+                key[: n - i * step] += rank[i * step :]  # past an end of string nothing counts: its rank is its own
+        order = np.argsort(key)
         sorted_ = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.cumsum(np.concatenate(([0], sorted_[1:] != sorted_[:-1])))
         if new[order[-1]] == n - 1:
             break
-        rank, step = new, step * 2
-    before = np.empty(n, np.uint8)
-    before[1:] = text[:-1]
-    before[0] = 0
-    return order, before[order]
+        rank, step = new, step * parts
+    before = np.concatenate((text[-1:], text[:-1]))
+    bwt = before[order]
+    return order, bwt, new[order - 1]
 
 
-def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard of each row, block of each row) of the merged transform after ``rounds`` refinements.
+def _stride(symbols: np.ndarray, grow: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """For each row the rank of the ``width`` symbols before it, the farthest counting most, and the row they lead to.
 
-    Each round places every row by the symbol before it, keeping the order within a symbol: then rows
-    agree with the merged order on one more symbol. A block holds the rows that share ``rounds``
-    symbols; rows that begin with an end of string are blocks of their own.
+    0 where an end of string is among them; None if the ranks do not fit 16 bits, which a counting sort takes.
     """
+    code, at = symbols.astype(np.uint32), grow
+    inside = symbols > 0
+    for i in range(1, width):
+        c = symbols[at]
+        inside &= c > 0
+        code |= c.astype(np.uint32) << np.uint32(8 * i)
+        at = grow[at]
+    code[~inside] = 0
+    if width > 2:
+        found, code = np.unique(code, return_inverse=True)
+        if len(found) > 1 << 16:
+            return None
+        if found[0] != 0:
+            if len(found) == 1 << 16:
+                return None
+            code += 1
+    return code.astype(np.uint8 if width == 1 else np.uint16), at
+
+
+def merge(transforms: list[np.ndarray], steps: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the merged transform that share ``length`` symbols with another row, in merged order, and their blocks.
+
+    A row is numbered through the shards' transforms one after the other; the sequence of rows is the
+    interleave. A round moves each row by the last-to-first mapping of its shard to the suffix that is a
+    few symbols longer and places it by those symbols, keeping the order among equal ones: so the interleave
+    of suffixes by ``h`` symbols becomes that by ``h + width``, and a block splits by its symbols. A row
+    alone in its block stays alone when it grows, so it leaves; a suffix never grows over the end of its string.
+    """
+    offset = np.cumsum([0, *(len(t) for t in transforms[:-1])])
     symbols = np.concatenate(transforms)
-    n, count = len(symbols), [int((t == 0).sum()) for t in transforms]
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    ends = np.repeat(np.arange(len(transforms), dtype=np.uint8), count)
-    block = np.zeros(n, np.int32)
-    for _ in range(rounds):
-        merged = np.empty(n, np.uint8)
-        merged[np.argsort(shard, kind="stable")] = symbols
-        order = np.argsort(merged, kind="stable")
-        shard, block, merged = shard[order], block[order], merged[order]
-        shard[: len(ends)] = ends
-        new = np.empty(n, bool)
+    grow = np.concatenate([s + o for s, o in zip(steps, offset, strict=True)]).astype(np.int32)
+    width = next(w for w in (4, 2, 1) if w <= max(1, length) and (stride := _stride(symbols, grow, w)) is not None)
+    rounds = [stride] * (length // width) + [_stride(symbols, grow, 1)] * (length % width)
+    rows = np.arange(len(symbols), dtype=np.int32)
+    block = np.zeros(len(rows), np.int32)
+    for code, to in rounds:
+        c = code[rows]
+        order = np.argsort(c, kind="stable")
+        order = order[np.searchsorted(c, 1, sorter=order) :]
+        c, rows, block = c[order], to[rows[order]], block[order]
+        if not len(rows):
+            break
+        new = np.empty(len(rows), bool)
         new[0] = True
-        np.not_equal(merged[1:], merged[:-1], out=new[1:])
+        np.not_equal(c[1:], c[:-1], out=new[1:])
         new[1:] |= block[1:] != block[:-1]
-        new[: len(ends)] = True
-        block = np.cumsum(new, dtype=np.int32) - 1
-        if block[-1] == n - 1:
-            break  # all intervals are single: nothing repeats
-    return shard, block
+        keep = np.ones(len(new), bool)
+        keep[-1] = ~new[-1]
+        keep[:-1] = ~(new[:-1] & new[1:])
+        block = np.cumsum(new, dtype=np.int32)[keep]
+        rows = rows[keep]
+    return rows, block
 
 
 def repeats(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of every string of ``length`` bytes within ``strings`` that also starts earlier."""
     shards = max(1, min(shards, len(strings)))
     cuts = [len(strings) * i // shards for i in range(shards + 1)]
-    orders, transforms, owner, place = [], [], [], []
+    transforms, steps, owner, place = [], [], [], []
     for a, b in zip(cuts, cuts[1:], strict=False):
         part = strings[a:b]
-        order, bwt = transform(part)
+        order, bwt, step = transform(part)
         size = np.array([len(s) + 1 for s in part])
         first = np.cumsum(size) - size
-        orders.append(order)
         transforms.append(bwt)
+        steps.append(step)
         owner.append(np.repeat(docs[a:b], size)[order])
         place.append((np.repeat(starts[a:b] - first, size) + np.arange(size.sum()))[order])
-    shard, block = merge(transforms, length)
-    size = np.bincount(block)
-    back = np.argsort(shard, kind="stable")  # rows of the first shard in order, then of the next
-    rows = block[back]
-    keep = size[rows] > 1
-    rows, owner, place = rows[keep], np.concatenate(owner)[keep], np.concatenate(place)[keep]
+    rows, block = merge(transforms, steps, length)
+    owner, place = np.concatenate(owner)[rows], np.concatenate(place)[rows]
     if not len(rows):
         return owner, place
-    order = np.lexsort((place, owner, rows))
-    rows, owner, place = rows[order], owner[order], place[order]
-    head = np.concatenate(([True], rows[1:] != rows[:-1]))
-    at = np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))
+    order = np.lexsort((place, owner, block))
+    block, owner, place = block[order], owner[order], place[order]
+    head = np.concatenate(([True], block[1:] != block[:-1]))
+    at = np.maximum.accumulate(np.where(head, np.arange(len(block)), 0))
     later = (owner != owner[at]) | (place != place[at])
     return owner[later], place[later]
 
@@ -284,12 +314,23 @@ def _strings_of_hot(batches):
 
 
 def _cut(batches):
-    """The bytes of the windows that are asked for."""
+    """The bytes of the windows that are asked for; those of one bucket that overlap come as one piece."""
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
     for b in batches:
-        rows = [(w["anchor"], w["hot"], doc, w["start"], data[w["start"] : w["end"]]) for doc, data, wanted in zip(b.column(0).to_pylist(), _binary(b.column(1)), b.column(2).to_pylist(), strict=True) for w in wanted]
+        rows: list[tuple] = []
+        for doc, data, wanted in zip(b.column(0).to_pylist(), _binary(b.column(1)), b.column(2).to_pylist(), strict=True):
+            last = None
+            for hot, bucket, start, end in sorted((w["hot"], w["bucket"], w["start"], w["end"]) for w in wanted):
+                if last and last[:2] == [hot, bucket] and start <= last[3]:
+                    last[3] = max(end, last[3])
+                    continue
+                if last:
+                    rows.append((last[1], last[0], doc, last[2], data[last[2] : last[3]]))
+                last = [hot, bucket, start, end]
+            rows.append((last[1], last[0], doc, last[2], data[last[2] : last[3]]))
         for i in range(0, len(rows), 20_000):
             cols = list(zip(*rows[i : i + 20_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "hot", "doc_id", "start", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["bucket", "hot", "doc_id", "start", "bytes"])
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -308,15 +349,13 @@ def removed_intervals(docs: DataFrame) -> DataFrame:
     copies = windows.join(first.where("n > 1").select("anchor", "content", F.col("first.doc_id").alias("d"), F.col("first.start").alias("s")), ["anchor", "content"])
     copies = copies.where("doc_id <> d OR start <> s").select("doc_id", "start", "end")
     differing = first.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1").select("anchor", (F.col("variants") > HOT).alias("hot"))
-    wanted = first.join(differing, "anchor").select("anchor", "hot", "first.*")
-    wanted = stash(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "hot", "start", "end")).alias("wanted")), "wanted")
-    ids = wanted.select("doc_id")
-    once = with_ids(src, ids, "left_semi").join(wanted, "doc_id")
-    cut = stash(once.select("doc_id", "text", "wanted").mapInArrow(_cut, "anchor bigint, hot boolean, doc_id bigint, start bigint, bytes binary"), "cut")
-    n = cut.count()
-    buckets = max(1, -(-n // BUCKET))
+    wanted = stash(first.join(differing, "anchor").select("anchor", "hot", "first.*"), "wanted")
+    buckets = max(1, -(-wanted.count() // BUCKET))
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")
-    merged = cut.where("NOT hot").select(bucket, "doc_id", "start", "bytes").groupBy("bucket").applyInArrow(_merge_bucket, _REMOVED)
+    wanted = stash(wanted.groupBy("doc_id").agg(F.collect_list(F.struct(bucket, "hot", "start", "end")).alias("wanted")), "wanted")  # anchors of one text
+    once = with_ids(src, wanted.select("doc_id"), "left_semi").join(wanted, "doc_id")
+    cut = stash(once.select("doc_id", "text", "wanted").mapInArrow(_cut, "bucket bigint, hot boolean, doc_id bigint, start bigint, bytes binary"), "cut")
+    merged = cut.where("NOT hot").select("bucket", "doc_id", "start", "bytes").groupBy("bucket").applyInArrow(_merge_bucket, _REMOVED)
     strings = stash(cut.where("hot").select("doc_id", "start", "bytes").mapInArrow(_strings_of_hot, "h1 bigint, h2 bigint, doc_id bigint, start bigint"), "strings")
     least = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     hot = strings.join(least, ["h1", "h2"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
