@@ -147,12 +147,13 @@ def _(spark, d):
 
 # --- analysis ------------------------------------------------------------------------------------
 
-_ERR = F.col("channel") == "error"
+def _err():
+    return F.col("channel") == "error"
 
 
 @query("summary", f"WITH {REC} SELECT count(*) AS total_events, round((max(ord) - min(ord)) / 3600, 1) AS time_span_hours, round(avg(CASE WHEN channel = 'error' THEN 1.0 ELSE 0.0 END), 4) AS error_rate, count(DISTINCT user_id) AS unique_user_id, count(DISTINCT channel) AS unique_channel FROM rec")
 def _(spark, d):
-    return analysis.summary(events(spark, d), ["user_id", "channel"], _ERR)
+    return analysis.summary(events(spark, d), ["user_id", "channel"], _err())
 
 
 @query("top_values", f"WITH {REC}, c AS (SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS n FROM rec GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS rank FROM c) SELECT 'user_id' AS \"column\", value, n AS \"count\", rank FROM k WHERE rank <= 10")
@@ -199,12 +200,12 @@ def _(spark, d):
 
 @query("error_rates", f"WITH {REC}, c AS (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE channel = 'error') AS errors FROM rec GROUP BY 1) SELECT user_id, total, errors, round(errors / total, 4) AS rate, errors / total > 2 * (SELECT sum(errors) / sum(total) FROM c) AND errors >= 5 AS flagged FROM c")
 def _(spark, d):
-    return analysis.error_rates(events(spark, d), "user_id", _ERR)
+    return analysis.error_rates(events(spark, d), "user_id", _err())
 
 
 @query("top_errors", "WITH c AS (SELECT user_id, props, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, props) AS rank FROM c) SELECT user_id, props, n AS \"count\", rank FROM k WHERE rank <= 5")
 def _(spark, d):
-    return analysis.top_errors(events(spark, d, "props").where(_ERR), "user_id", "props").withColumn("rank", F.col("rank").cast("long"))
+    return analysis.top_errors(events(spark, d, "props").where(_err()), "user_id", "props").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("mfa_features", f"WITH {REC} SELECT user_id, count(*) AS logins, count(*) FILTER (WHERE value > 100) AS with_mfa, count(*) - count(*) FILTER (WHERE value > 100) AS without_mfa FROM rec WHERE channel = 'signup' GROUP BY 1")
@@ -232,8 +233,8 @@ def _(spark, d):
     return analysis.entity_scores(_profile(spark, d), "user_id", n, users).select("user_id", "channel", "events", "share", "rarity", "score")
 
 
-@query("behavioural_twins", f"""WITH {_PROFILE}, t AS (SELECT a.user_id AS entity_a, b.user_id AS entity_b, count(*) AS n_common, sum(a.events * b.events) / sqrt(sum(a.events * a.events) * sum(b.events * b.events)) AS c FROM pr a JOIN pr b ON a.channel = b.channel AND a.user_id < b.user_id WHERE a.user_id < 40 AND b.user_id < 40 GROUP BY 1, 2)
-SELECT entity_a, entity_b, n_common, round(c, 4) AS similarity FROM t WHERE n_common >= 3 AND c > 0.95""".replace(" WHERE a.user_id < 40 AND b.user_id < 40", ""))
+@query("behavioural_twins", f"""WITH {_PROFILE}, t AS (SELECT a.user_id AS entity_a, b.user_id AS entity_b, count(*) AS n_common, sum(a.events * b.events) / sqrt(sum(a.events * a.events) * sum(b.events * b.events)) AS c FROM pr a JOIN pr b ON a.channel = b.channel AND a.user_id < b.user_id GROUP BY 1, 2)
+SELECT entity_a, entity_b, n_common, round(c, 4) AS similarity FROM t WHERE n_common >= 3 AND c > 0.95""")
 def _(spark, d):
     return analysis.behavioural_twins(_profile(spark, d), "user_id").withColumn("n_common", F.col("n_common").cast("long"))
 
@@ -259,7 +260,7 @@ def _(spark, d):
 
 @query("findings")
 def _(spark, d):
-    out = analysis.analyze(events(spark, d), "user_id", grain=HOUR, error=_ERR)["findings"]
+    out = analysis.analyze(events(spark, d), "user_id", grain=HOUR, error=_err())["findings"]
     return spark.createDataFrame([(f["severity"], f["title"], f["description"]) for f in out], "severity string, title string, description string")
 
 
