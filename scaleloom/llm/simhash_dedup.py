@@ -13,6 +13,7 @@ rows each get their row; an empty table gives no rows; other columns are ignored
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +29,16 @@ SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
 DIRECT = 64
 _CHUNK = 1 << 15
 
+#: Similarity of texts: words of a shingle and the least Jaccard similarity; bytes of the wide fingerprint and words of
+#: its shingles; positions of a key, keys, and least bytes shared; members of a list that are compared at once; rows of
+#: a bucket; lists that are broadcast at most.
+VERIFY, SIMILARITY = 5, 0.8
+WIDE, WIDE_SHINGLE, KEY, KEYS, LEAST_SHARED = 64, 2, 4, 128, 14
+BLOCK, BUCKET, BROADCAST_LISTS = 1000, 5000, 1_000_000
+_SPREAD = np.random.default_rng(5).integers(0, 1 << 63, WIDE // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Every WIDE / KEY keys use each position once.
+_POSITIONS = np.concatenate([np.random.default_rng(i).permutation(WIDE).reshape(-1, KEY) for i in range(KEYS * KEY // WIDE)])
+
 
 def fingerprint(data: bytes | None) -> int:
     """``data`` is UTF-8; bytes.split() splits at exactly the white space that the contract names."""
@@ -96,12 +107,153 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+# --- similarity of texts -----------------------------------------------------------------------
+
+
+def wide_fingerprint(words: list[bytes]) -> bytes:
+    """SimHash of WIDE bytes over the WIDE_SHINGLE-word shingles; one 64-bit hash is spread over all bits."""
+    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in zip(*(words[i:] for i in range(WIDE_SHINGLE)), strict=False)], np.uint64)
+    ones = np.zeros(8 * WIDE, np.int64)
+    for i in range(0, len(hashes), 4096):
+        part = hashes[i : i + 4096, None] * _SPREAD
+        part = (part ^ part >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+        part ^= part >> np.uint64(32)
+        ones += np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def _words(data: bytes | None) -> list[bytes]:
+    return (data or b"").lower().split()
+
+
+def _sequences(batches):
+    """128 bits of hash of the words of each text and, from VERIFY words on, its wide fingerprint."""
+    for b in batches:
+        words = [_words(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+        whole = np.array([np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), np.int64) for w in words], np.int64).reshape(-1, 2)
+        fps = [wide_fingerprint(w) if len(w) >= VERIFY else None for w in words]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(fps, pa.binary())], ["doc_id", "h1", "h2", "fp"])
+
+
+def _bytes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDE)
+
+
+def _postings(batches):
+    """KEYS postings for each node: the place of the key and its KEY positional bytes."""
+    for b in batches:
+        for at in range(0, b.num_rows, 2000):
+            part = b.slice(at, 2000)
+            keys = np.ascontiguousarray(_bytes(part.column(1))[:, _POSITIONS]).view(np.uint32)[..., 0].astype(np.int64)
+            keys |= np.arange(KEYS, dtype=np.int64) << 32
+            node = part.column(0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), node.take(pa.array(np.repeat(np.arange(len(node)), KEYS)))], ["key", "node"])
+
+
+def _partners(fps: np.ndarray, slot: int, side: np.ndarray, own: int, other: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, those after i): the pairs of a list that share enough bytes in place and no earlier key; across two blocks if they differ."""
+    for i in range(len(fps) - 1):
+        same = fps[i + 1 :] == fps[i]
+        found = np.flatnonzero((same.sum(axis=1) >= LEAST_SHARED) & ((side[i + 1 :] != side[i]) | (own == other)))
+        if len(found):
+            first = same[found][:, _POSITIONS].all(axis=2).argmax(axis=1)
+            yield i, found[first == slot] + i + 1
+
+
+def _lists(t: pa.Table) -> Iterator[tuple[np.ndarray, int, np.ndarray, int, int]]:
+    """Rows of each cell of a bucket, with what _partners asks for."""
+    key, own, other = (t[c].to_numpy() for c in ("key", "own", "other"))
+    order = np.lexsort((other, own, key))
+    new = np.flatnonzero(np.concatenate(([True], np.any([np.diff(x[order]) != 0 for x in (key, own, other)], axis=0))))
+    for a, b in zip(new, [*new[1:], len(order)], strict=True):
+        if b - a > 1:
+            rows = order[a:b]
+            yield rows, int(key[rows[0]] >> 32), t["side"].to_numpy()[rows], own[rows[0]], other[rows[0]]
+
+
+def _tally(t: pa.Table) -> pa.Table:
+    """Those members of the lists that have a partner."""
+    fps, kept = _bytes(t["fp"]), []
+    for rows, *cell in _lists(t):
+        hit = np.zeros(len(rows), bool)
+        for i, found in _partners(fps[rows], *cell):
+            hit[i] |= len(found) > 0
+            hit[found] = True
+        kept.append(rows[hit])
+    return t.take(pa.array(np.concatenate(kept) if kept else [], pa.int64()))
+
+
+def _verify(t: pa.Table) -> pa.Table:
+    """The pairs of a list whose sets of shingles reach SIMILARITY; pairs that others connect already are passed over."""
+    fps, shingles = _bytes(t["fp"]), t["shingles"].combine_chunks()
+    sets = lambda i: shingles[int(i)].values.to_numpy()
+    us, vs = [], []
+    for rows, *cell in _lists(t):
+        group = np.arange(len(rows))
+        held: dict = {}
+        for i, found in _partners(fps[rows], *cell):
+            a = held.setdefault(i, sets(rows[i]))
+            for j in found:
+                if group[i] == group[j]:
+                    continue
+                b = held.setdefault(int(j), sets(rows[j]))
+                if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+                    continue
+                n = len(np.intersect1d(a, b, assume_unique=True))
+                if n >= SIMILARITY * (len(a) + len(b) - n):
+                    us.append(rows[i])
+                    vs.append(rows[j])
+                    group[group == group[j]] = group[i]
+    return pa.table({"u": t["node"].take(pa.array(us, pa.int64())), "v": t["node"].take(pa.array(vs, pa.int64()))})
+
+
+def _shingle_sets(batches):
+    for b in batches:
+        out = []
+        for t in b.column(1).cast(pa.binary()).to_pylist():
+            w = _words(t)
+            out.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + VERIFY]), SEED) for i in range(max(1, len(w) - VERIFY + 1))], np.uint64)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id for every row of ``docs``: components of texts whose sets of VERIFY-word shingles have a Jaccard similarity of SIMILARITY or more.
+
+    Two differing bits are far too few for that similarity, so this takes fingerprints of WIDE bytes
+    over shorter shingles. The index has a posting for each of KEYS choices of KEY positions; members
+    of a list tally their shared bytes, and pairs with LEAST_SHARED are verified on their texts. No
+    list is cut: one that is longer than BLOCK is compared block by block, its pairs never being rows.
+    Equal sequences of words are one node. A null doc_id never names a component.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    seq = stash(docs.select("doc_id", "text").mapInArrow(_sequences, f"doc_id {kind}, h1 bigint, h2 bigint, fp binary"), "sequences")
+    nodes = stash(seq.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")), "nodes")
+    near = nodes.where("node IS NOT NULL AND fp IS NOT NULL").select("node", "fp")
+    postings = near.mapInArrow(_postings, f"key bigint, node {kind}")
+    lists = stash(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    members = postings.join(F.broadcast(lists) if lists.count() <= BROADCAST_LISTS else lists, "key").withColumn("n", F.ceil(F.col("n") / BLOCK))
+    members = members.withColumn("side", F.pmod(F.xxhash64("node"), F.col("n"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    cells = members.select("key", "node", "side", F.least("side", "o").alias("own"), F.greatest("side", "o").alias("other")).join(near, "node")
+    cells = stash(cells, "cells")
+    fields = f"key bigint, node {kind}, side bigint, own bigint, other bigint, fp binary"
+    columns = ["key", "node", "side", "own", "other", "fp"]
+    bucket = F.pmod(F.xxhash64("key", "own", "other"), F.lit(max(1, -(-cells.count() // BUCKET)))).alias("bucket")
+    tallied = stash(cells.select(*columns, bucket).groupBy("bucket").applyInArrow(lambda t: _tally(t.select(columns)), fields), "tallied")
+    wanted = tallied.select(F.col("node").alias("doc_id")).distinct()
+    sets = docs.where("text IS NOT NULL").select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_shingle_sets, f"node {kind}, shingles array<bigint>")
+    asked = tallied.join(sets, "node").select(*columns, "shingles", bucket)
+    links = asked.groupBy("bucket").applyInArrow(_verify, f"u {kind}, v {kind}")
+    comp = connected_components(links)
+    named = nodes.join(comp, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
+    return seq.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the near-duplicates of another document: of each component the row of its least doc_id stays.
+    """``docs`` without the near-duplicates of another document: of each component of ``similar`` the row of its least doc_id stays.
 
     Rows with a null doc_id stay. Of rows that repeat a doc_id with the same text all stay or all go.
     """
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = similar(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
 
 

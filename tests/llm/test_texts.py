@@ -151,3 +151,42 @@ def test_language(spark):
     assert kept.count() == len(rows) - 2 and kept.where("doc_id = 9002").first().lang == "es"
     none = language_id.identify(spark.createDataFrame([(1, "abc", None, "", "", "")], DOCS)).collect()
     assert none[0].lang_pred == "und" and language_id.identify(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_similar_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 7)  # lists go by in blocks
+    rnd = random.Random(12)
+    vocab = [f"w{i}" for i in range(500)]
+    texts = {}
+    for base in range(0, 400, 20):
+        words = [rnd.choice(vocab) for _ in range(rnd.choice([12, 60, 150, 400]))]
+        for i in range(base, base + (16 if base < 60 else 5)):
+            copy = list(words)
+            for _ in range(rnd.randrange(1 + len(words) // 50) if i > base else 0):
+                copy[rnd.randrange(len(copy))] = rnd.choice(vocab)
+            texts[i] = " ".join(copy)
+    texts |= {1000: None, 1001: "", 1002: "a b", 1003: "A  b", 1004: texts[0].upper().replace(" ", "\n"), 1005: "b a", 1006: "x " * 5000, 1007: "x " * 5001}
+    rows = [(i, t, "clash", "clash", 0.5) for i, t in texts.items()]
+    rows += [rows[0], (None, texts[20], "", "", 0.0), (None, "nothing like it", "", "", 0.0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, node string, fp string, key double")
+    got = {(r.doc_id, r.component_id) for r in simhash_dedup.similar(frame).collect()}
+    comp = {d: c for d, c in got if d is not None}
+    assert {c for d, c in got if d is None} == {20, None}
+
+    def grams(t):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {i: grams(t) for i, t in texts.items()}
+    similar = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    reach = {i: i for i in sets}
+    for _ in range(12):
+        for (a, b), j in similar.items():
+            if j >= 0.8:
+                reach[a] = reach[b] = min(reach[a], reach[b])
+    assert all(comp[a] == comp[b] for (a, b), j in similar.items() if j >= 0.85)
+    assert all(reach[i] == reach[c] for i, c in comp.items())
+    assert sum(comp[a] == comp[b] for (a, b), j in similar.items() if j >= 0.8) >= 0.95 * sum(j >= 0.8 for j in similar.values())
+    assert simhash_dedup.similar(frame.limit(0)).count() == 0
+    kept = [r.doc_id for r in simhash_dedup.keep_one(frame).collect()]
+    assert sorted(x for x in kept if x is not None) == sorted([0, *(i for i in texts if comp[i] == i)]) and kept.count(None) == 2
