@@ -129,9 +129,12 @@ def _words(data: bytes | None) -> list[bytes]:
 def _sequences(batches):
     """128 bits of hash of the words of each text and, from VERIFY words on, its wide fingerprint."""
     for b in batches:
-        words = [_words(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
-        whole = np.array([np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), np.int64) for w in words], np.int64).reshape(-1, 2)
-        fps = [wide_fingerprint(w) if len(w) >= VERIFY else None for w in words]
+        whole, fps = [], []
+        for t in b.column(1).cast(pa.binary()).to_pylist():
+            words = _words(t)
+            whole.append(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64))
+            fps.append(wide_fingerprint(words) if len(words) >= VERIFY else None)
+        whole = np.array(whole, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(fps, pa.binary())], ["doc_id", "h1", "h2", "fp"])
 
 
