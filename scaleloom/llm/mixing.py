@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import stash
 
 #: Documents in a block, slots of a period, and rows that one sorting group of a source holds.
-BLOCK, QUANTUM, GROUP = 64, 1000, 20_000
+BLOCK, QUANTUM, GROUP = 64, 1000, 2_000
 OWN = ("mix_phase", "mix_slot", "mix_position")
 
 
@@ -100,16 +100,17 @@ def mix(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK, qua
     docs = docs.drop(*OWN)
     rows = docs.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
     counts = {r[0]: r[1] for r in docs.groupBy(key).count().collect()}
-    groups = max(1, -(-max(counts.values(), default=1) // GROUP))
-    rows = rows.withColumn("_g", F.pmod(F.col("_h"), F.lit(groups)))
+    spark = docs.sparkSession
+    kind = docs.schema[key].dataType
+    groups = {k: -(-n // GROUP) for k, n in counts.items()}
+    sizes = spark.createDataFrame(list(groups.items()), T.StructType([T.StructField("_key", kind), T.StructField("_groups", T.LongType())]))
+    rows = rows.join(F.broadcast(sizes), F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_g", F.pmod(F.col("_h"), F.col("_groups"))).drop("_key", "_groups")
     weights = weights if weights is not None else {k: n**0.5 for k, n in counts.items()}
     plan = phases({k: -(-n // block) for k, n in counts.items()}, weights, quantum)
-    kind = docs.schema[key].dataType
     schema = T.StructType([
         T.StructField("_key", kind), T.StructField("mix_phase", T.IntegerType()), T.StructField("_first", T.LongType()), T.StructField("_after", T.LongType()),
         T.StructField("_at", T.LongType()), T.StructField("_q", T.LongType()), T.StructField("_slots", T.ArrayType(T.LongType())),
     ])
-    spark = docs.sparkSession
     by_source: dict = {}
     for k, *p in plan:
         by_source.setdefault(k, []).append(p)
@@ -120,7 +121,7 @@ def mix(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK, qua
     offsets = stash(per_group.select("_key", F.col("_g").alias("_og"), before.alias("_before")), "offsets")
     order = Window.partitionBy(key, "_g").orderBy("_h", *[F.col(c) for c, t in docs.dtypes if c == "doc_id"], F.xxhash64(*[F.col(c) for c, t in docs.dtypes if not t.startswith(("map", "variant"))]))
     ranked = rows.withColumn("_r", F.row_number().over(order) - 1)
-    offsets = F.broadcast(offsets) if len(counts) * groups <= 1_000_000 else offsets
+    offsets = F.broadcast(offsets) if sum(groups.values()) <= 1_000_000 else offsets
     ranked = ranked.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_g") == F.col("_og")), "left").withColumn("_r", F.col("_r") + F.col("_before")).drop("_key", "_og", "_before")
     placed = ranked.join(F.broadcast(table), F.col(key).eqNullSafe(F.col("_key")), "left")
     b = F.floor(F.col("_r") / block)
