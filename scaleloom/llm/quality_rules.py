@@ -16,6 +16,8 @@ SLACK = {"symbols": 0.02, "dup_lines": 0.35, "repeats": 0.25, "bangs": 0.05, "wo
 TWO_SIDED = ("word_length",)
 #: Interquartile ranges beyond the quartile; rows that a group needs for thresholds of its own; relative error of the sketch.
 REACH, LEAST_ROWS, GAMMA = 4.0, 200, 1.02
+#: Pairs of language and source whose thresholds are broadcast at most; more are joined.
+BROADCAST_GROUPS = 200_000
 
 #: A string literal of SQL takes one level of backslashes away.
 _WS_SQL = WS.replace("\\", "\\\\")
@@ -96,12 +98,13 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     sound = base.where("NOT base_failed")
     near = thresholds(sound, ["lang", "source"]).where(F.col("total") >= LEAST_ROWS).drop("total")
     mid = thresholds(sound, ["lang"]).where(F.col("total") >= LEAST_ROWS).drop("total")
-    far = thresholds(sound.withColumn("one", F.lit(1)), ["one"]).drop("total")
-    limits = [c for c in far.columns if c != "one"]
+    far = thresholds(sound.withColumn("one", F.lit(1)), ["one"]).drop("one", "total")
+    limits = far.columns
+    over_all = far.first() or dict.fromkeys(limits)  # one row
     as_ = lambda t, p, keys: t.select(*keys, *[F.col(c).alias(p + c) for c in limits])
     groups = base.select("lang", "source").distinct().join(as_(near, "n_", ["lang", "source"]), ["lang", "source"], "left").join(as_(mid, "m_", ["lang"]), "lang", "left")
-    groups = groups.withColumn("one", F.lit(1)).join(as_(far, "f_", ["one"]), "one", "left")
-    groups = groups.select("lang", "source", *[F.coalesce(f"n_{c}", f"m_{c}", f"f_{c}").alias(c) for c in limits])
+    groups = stash(groups.select("lang", "source", *[F.coalesce(f"n_{c}", f"m_{c}", F.lit(over_all[c]).cast("double")).alias(c) for c in limits]), "limits")
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
     ok = ~F.col("base_failed")
     for c in limits:
         side, m = c[:2], c[3:]
