@@ -64,8 +64,8 @@ def r(c: str | Column, n: int = 6) -> Column:
 
 
 def scaled(c: str) -> Column:
-    """Divided by a prime before rounding, which keeps means of few whole numbers off the edges of rounding."""
-    return F.round(F.col(c) / 997, 5).alias(c)
+    """Divided by a prime before rounding, which keeps means of few whole numbers off the edges of rounding; never a negative zero."""
+    return (F.round(F.col(c) / 997, 5) + 0.0).alias(c)
 
 
 def cells(surface: DataFrame, *columns: str | Column, by: Sequence[str] = ("channel",)) -> DataFrame:

@@ -179,10 +179,10 @@ _CAP = "least(abs({z}), 5) / 5.0"
 
 @query("session_scores", f"""WITH {_SEG}, st AS (SELECT avg(event_count) AS mn, greatest(stddev_pop(event_count), 0.01) AS sn, avg(duration) AS md, greatest(stddev_pop(duration), 0.01) AS sd, max(n_channels) AS mc FROM seg),
 z AS (SELECT seg.*, (event_count - mn) / sn AS ez, (duration - md) / sd AS dz, mc FROM seg CROSS JOIN st)
-SELECT user_id, seg_id, round(ez, 2) AS event_z, round(dz, 2) AS duration_z, round(1 / (1 + exp(-8 * (0.35 * {_CAP.format(z='ez')} + 0.25 * {_CAP.format(z='dz')} + 0.2 * n_channels / mc + 0.2 * ln(1 + event_count / (SELECT count(*) FROM rec) * 1000) / ln(1001) - 0.3))), 4) AS score FROM z""")
+SELECT user_id, seg_id, round(ez, 2) + 0.0 AS event_z, round(dz, 2) + 0.0 AS duration_z, round(1 / (1 + exp(-8 * (0.35 * {_CAP.format(z='ez')} + 0.25 * {_CAP.format(z='dz')} + 0.2 * n_channels / mc + 0.2 * ln(1 + event_count / (SELECT count(*) FROM rec) * 1000) / ln(1001) - 0.3))), 4) AS score FROM z""")
 def _(spark, d):
     total = events(spark, d).count()
-    return analysis.score_sessions(sessions(spark, d), total).select("user_id", F.col("seg_id").cast("long"), "event_z", "duration_z", "score")
+    return analysis.score_sessions(sessions(spark, d), total).select("user_id", F.col("seg_id").cast("long"), (F.col("event_z") + 0.0).alias("event_z"), (F.col("duration_z") + 0.0).alias("duration_z"), "score")
 
 
 _SRC = "src AS (SELECT user_id, props AS source FROM events)"

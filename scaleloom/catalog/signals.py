@@ -196,7 +196,7 @@ def _(spark, d):
 _SURFACE = {
     "mean": ("avg(value) AS mean", "mean"), "sum": ('sum(value) AS "sum"', "sum"), "count": ('CASE WHEN count(value) > 0 THEN CAST(count(value) AS DOUBLE) END AS "count"', "count"),
     "std": ("CASE WHEN count(value) > 1 THEN round(stddev_pop(value), 2) END AS std", lambda: r("std", 2)),
-    "var": ("CASE WHEN count(value) > 1 THEN round(var_pop(value) / 1e6, 4) END AS var", lambda: F.round(F.col("var") / 1e6, 4).alias("var")),
+    "var": ("CASE WHEN count(value) > 1 THEN round(var_pop(value) / 997e3, 4) END AS var", lambda: F.round(F.col("var") / 997e3, 4).alias("var")),
     "geometric_mean": ("CASE WHEN count(value) > 0 THEN round(exp(coalesce(sum(ln(value)) FILTER (WHERE value > 0), 0) / count(value)), 2) END AS geometric_mean", lambda: r("geometric_mean", 2)),
     "median": ("round(quantile_cont(value, 0.5), 2) AS median", lambda: r("median", 2)), "p95": ("round(quantile_cont(value, 0.95), 2) AS p95", lambda: r("p95", 2)), "max": ('max(value) AS "max"', "max"),
     "count_entropy": ("CASE WHEN sum(n_events) > 0 THEN round(greatest(0, log2(sum(n_events)) - sum(n_events * log2(n_events)) FILTER (WHERE n_events > 0) / sum(n_events)), 6) END AS count_entropy", lambda: r("count_entropy")),

@@ -24,7 +24,7 @@ s(channel, win, bin, i, mean, coverage, state) AS (SELECT channel, win, bin, i,
   FROM s JOIN k ON k.channel = s.channel AND k.win = s.win AND k.i = s.i + 1)"""
 
 
-@query("baseline_rolling_mean", f"{_ROLLED} SELECT channel, win, bin, round(base / 997, 5) AS mean FROM b")
+@query("baseline_rolling_mean", f"{_ROLLED} SELECT channel, win, bin, round(base / 997, 5) + 0.0 AS mean FROM b")
 def _(spark, d):
     return cells(surface_ops.baseline(means(spark, d), BY, "rolling_mean"), scaled("mean"))
 
@@ -66,14 +66,14 @@ _MAG = " + ".join(f"coalesce(grad_p{p} * grad_p{p}, 0)" for p in PLAN.prime_basi
 @query(
     "gradient",
     f"WITH {MEANS}, g AS (SELECT m.channel, m.win, m.bin, lead(m.mean) OVER (PARTITION BY m.channel, m.win ORDER BY m.bin) - m.mean AS grad_t, {_GRAD} FROM m {_GRAD_JOIN}) "
-    f"SELECT channel, win, bin, round(grad_t / 997, 5) AS grad_t, {', '.join(f'round(grad_p{p} / 997, 5) AS grad_p{p}' for p in PLAN.prime_basis)}, round(sqrt({_MAG}) / 997, 5) AS grad_scale_mag FROM g",
+    f"SELECT channel, win, bin, round(grad_t / 997, 5) + 0.0 AS grad_t, {', '.join(f'round(grad_p{p} / 997, 5) + 0.0 AS grad_p{p}' for p in PLAN.prime_basis)}, round(sqrt({_MAG}) / 997, 5) + 0.0 AS grad_scale_mag FROM g",
 )
 def _(spark, d):
     names = ["grad_t", *[f"grad_p{p}" for p in PLAN.prime_basis], "grad_scale_mag"]
     return cells(surface_ops.gradient(means(spark, d), PLAN, BY), *[scaled(n) for n in names])
 
 
-@query("stack", f"{_ROLLED} SELECT channel, win, bin, mean AS measured_mean, round(base / 997, 5) AS rolled_mean FROM b")
+@query("stack", f"{_ROLLED} SELECT channel, win, bin, mean AS measured_mean, round(base / 997, 5) + 0.0 AS rolled_mean FROM b")
 def _(spark, d):
     x = means(spark, d)
     return cells(surface_ops.stack([("measured", x), ("rolled", surface_ops.baseline(x, BY, "rolling_mean"))], BY), "measured_mean", scaled("rolled_mean"))
@@ -114,12 +114,12 @@ def _features(spark, d, *names):
     return features.engineer(means(spark, d), PLAN, BY, features=names)
 
 
-@query("feature_delta_rate", f"WITH {MEANS}, x AS (SELECT *, mean - lag(mean) OVER (PARTITION BY channel, win ORDER BY bin) AS delta FROM m) SELECT channel, win, bin, round(delta / 997, 5) AS mean_delta, CASE WHEN coverage > 0 THEN round(delta / greatest(coverage, 1e-9) / 997, 5) END AS mean_rate FROM x")
+@query("feature_delta_rate", f"WITH {MEANS}, x AS (SELECT *, mean - lag(mean) OVER (PARTITION BY channel, win ORDER BY bin) AS delta FROM m) SELECT channel, win, bin, round(delta / 997, 5) + 0.0 AS mean_delta, CASE WHEN coverage > 0 THEN round(delta / greatest(coverage, 1e-9) / 997, 5) END AS mean_rate FROM x")
 def _(spark, d):
     return cells(_features(spark, d, "delta", "rate"), scaled("mean_delta"), scaled("mean_rate"))
 
 
-@query("feature_rolling_median", f"WITH {MEANS} SELECT channel, win, bin, round(quantile_cont(mean, 0.5) OVER (PARTITION BY channel, win ORDER BY bin ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 997, 5) AS mean_baseline_rmed FROM m")
+@query("feature_rolling_median", f"WITH {MEANS} SELECT channel, win, bin, round(quantile_cont(mean, 0.5) OVER (PARTITION BY channel, win ORDER BY bin ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 997, 5) + 0.0 AS mean_baseline_rmed FROM m")
 def _(spark, d):
     return cells(_features(spark, d, "baseline_rmed"), scaled("mean_baseline_rmed"))
 
@@ -127,7 +127,7 @@ def _(spark, d):
 _COVER = " ".join(f"WHEN {w} THEN {c}" for w in PLAN.windows if (c := PLAN.cover(w)))
 
 
-@query("feature_lattice_gradient", f"WITH {MEANS}, c AS (SELECT *, CASE win {_COVER} END AS up FROM m) SELECT c.channel, c.win, c.bin, round((c.mean - u.mean) / 997, 5) AS mean_gradient FROM c LEFT JOIN m u ON u.channel = c.channel AND u.bin = c.bin AND u.win = c.up")
+@query("feature_lattice_gradient", f"WITH {MEANS}, c AS (SELECT *, CASE win {_COVER} END AS up FROM m) SELECT c.channel, c.win, c.bin, round((c.mean - u.mean) / 997, 5) + 0.0 AS mean_gradient FROM c LEFT JOIN m u ON u.channel = c.channel AND u.bin = c.bin AND u.win = c.up")
 def _(spark, d):
     return cells(_features(spark, d, "gradient"), scaled("mean_gradient"))
 
@@ -135,20 +135,20 @@ def _(spark, d):
 _FILLED = f"WITH RECURSIVE {MEANS}, {_SMOOTH.format(a=0.3)}, x AS (SELECT channel, win, bin, mean, state, mean - state AS res FROM s)"
 
 
-@query("feature_ewma_residual", f"{_FILLED} SELECT channel, win, bin, round(state / 997, 5) AS mean_baseline_ewma, round(res / 997, 5) AS mean_residual FROM x")
+@query("feature_ewma_residual", f"{_FILLED} SELECT channel, win, bin, round(state / 997, 5) + 0.0 AS mean_baseline_ewma, round(res / 997, 5) + 0.0 AS mean_residual FROM x")
 def _(spark, d):
     return cells(_features(spark, d, "baseline_ewma", "residual"), scaled("mean_baseline_ewma"), scaled("mean_residual"))
 
 
-@query("feature_zscore", f"{_FILLED}, a AS (SELECT *, median(res) OVER (PARTITION BY channel, win) AS md, count(res) OVER (PARTITION BY channel, win) AS n FROM x), b AS (SELECT *, median(abs(res - md)) OVER (PARTITION BY channel, win) AS mad FROM a) SELECT channel, win, bin, CASE WHEN n >= 2 AND mad > 0 THEN round(res / (1.4826 * mad), 4) END AS mean_zscore FROM b")
+@query("feature_zscore", f"{_FILLED}, a AS (SELECT *, median(res) OVER (PARTITION BY channel, win) AS md, count(res) OVER (PARTITION BY channel, win) AS n FROM x), b AS (SELECT *, median(abs(res - md)) OVER (PARTITION BY channel, win) AS mad FROM a) SELECT channel, win, bin, CASE WHEN n >= 2 AND mad > 0 THEN round(res / (1.4826 * mad), 4) + 0.0 END AS mean_zscore FROM b")
 def _(spark, d):
-    return cells(_features(spark, d, "baseline_ewma", "residual", "zscore"), r("mean_zscore", 4))
+    return cells(_features(spark, d, "baseline_ewma", "residual", "zscore"), (F.round("mean_zscore", 4) + 0.0).alias("mean_zscore"))
 
 
-@query("assemble_long", f"WITH {MEANS}, x AS (SELECT channel, w, bin, mean, mean - lag(mean) OVER (PARTITION BY channel, win ORDER BY bin) AS delta FROM m), l AS (SELECT channel || '/value/mean' AS channel_name, w AS scale, bin, mean AS value FROM x UNION ALL SELECT channel || '/value/mean_delta', w, bin, delta FROM x) SELECT '_' AS entity, channel_name, dense_rank() OVER (ORDER BY channel_name) - 1 AS channel_idx, scale, bin, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 0) AS value FROM l")
+@query("assemble_long", f"WITH {MEANS}, x AS (SELECT channel, w, bin, mean, mean - lag(mean) OVER (PARTITION BY channel, win ORDER BY bin) AS delta FROM m), l AS (SELECT channel || '/value/mean' AS channel_name, w AS scale, bin, mean AS value FROM x UNION ALL SELECT channel || '/value/mean_delta', w, bin, delta FROM x) SELECT '_' AS entity, channel_name, dense_rank() OVER (ORDER BY channel_name) - 1 AS channel_idx, scale, bin, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 0) + 0.0 AS value FROM l")
 def _(spark, d):
     out = features.assemble([_features(spark, d, "delta")], BY, binning.canonical_keys({}))
-    return out.select("entity", "channel_name", F.col("channel_idx").cast("long"), "scale", "bin", F.round(F.col("value").cast("double"), 0).alias("value"))
+    return out.select("entity", "channel_name", F.col("channel_idx").cast("long"), "scale", "bin", (F.round(F.col("value").cast("double"), 0) + 0.0).alias("value"))
 
 
 # --- information ---------------------------------------------------------------------------------
@@ -178,11 +178,11 @@ def _pair(spark, d, a, b):
 @query(
     "divergence_surface",
     f"WITH {_two('click', 'view')} SELECT win, bin, CASE WHEN sum(a) > 0 AND sum(b) > 0 THEN CASE WHEN coalesce(sum(a) FILTER (WHERE a > 0 AND b > 0), 0) = 0 THEN 999 "
-    "ELSE round(sum(a * log2(a / b)) FILTER (WHERE a > 0 AND b > 0) / sum(a) + sum(a) FILTER (WHERE a > 0 AND b > 0) / sum(a) * log2(sum(b) / sum(a)), 6) END END AS kl_divergence FROM pr GROUP BY 1, 2",
+    "ELSE round(sum(a * log2(a / b)) FILTER (WHERE a > 0 AND b > 0) / sum(a) + sum(a) FILTER (WHERE a > 0 AND b > 0) / sum(a) * log2(sum(b) / sum(a)), 6) + 0.0 END END AS kl_divergence FROM pr GROUP BY 1, 2",
 )
 def _(spark, d):
     s = information.divergence_surface(*_pair(spark, d, "click", "view"), PLAN, ["one"])
-    kl = F.when(F.col("kl_divergence") == float("inf"), 999.0).otherwise(F.round("kl_divergence", 6))
+    kl = F.when(F.col("kl_divergence") == float("inf"), 999.0).otherwise(F.round("kl_divergence", 6) + 0.0)
     return cells(s, kl.alias("kl_divergence"), by=[])
 
 
