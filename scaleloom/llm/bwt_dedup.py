@@ -342,6 +342,7 @@ def removed_intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end): byte intervals, overlapping, whose union is to be removed."""
     src = docs.where("doc_id IS NOT NULL AND octet_length(text) >= %d" % LENGTH).select(F.col("doc_id").cast("long"), "text")
     repeated = src.select("text").mapInArrow(_batched_counts, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    repeated = stash(repeated, "repeated")  # read plainly, so that a hot anchor's windows can be split in the join
     windows = src.mapInArrow(_window_rows, "anchor bigint, content bigint, doc_id bigint, start bigint, end bigint")
     windows = stash(windows.join(repeated, "anchor", "left_semi"), "windows")
     first = windows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start", "end")).alias("first"), F.count("*").alias("n"))
