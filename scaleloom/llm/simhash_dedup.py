@@ -251,13 +251,20 @@ def similar(docs: DataFrame) -> DataFrame:
     return seq.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", "component_id")
 
 
+def _least_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Rows with a null doc_id stay. Of rows that repeat a doc_id with the same text all stay or all go."""
+    gone = grouped.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the near-duplicates of another document: of each component of ``similar`` the row of its least doc_id stays.
+    """``docs`` with one document of each component of ``near_duplicates``, the row of its least doc_id."""
+    return _least_of_each(docs, near_duplicates(docs))
 
-    Rows with a null doc_id stay. Of rows that repeat a doc_id with the same text all stay or all go.
-    """
-    gone = similar(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+
+def keep_one_similar(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component of ``similar``, the row of its least doc_id."""
+    return _least_of_each(docs, similar(docs))
 
 
 def digest(found: DataFrame) -> DataFrame:

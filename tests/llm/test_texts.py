@@ -188,5 +188,5 @@ def test_similar_texts(spark, monkeypatch):
     assert all(reach[i] == reach[c] for i, c in comp.items())
     assert sum(comp[a] == comp[b] for (a, b), j in similar.items() if j >= 0.8) >= 0.95 * sum(j >= 0.8 for j in similar.values())
     assert simhash_dedup.similar(frame.limit(0)).count() == 0
-    kept = [r.doc_id for r in simhash_dedup.keep_one(frame).collect()]
+    kept = [r.doc_id for r in simhash_dedup.keep_one_similar(frame).collect()]
     assert sorted(x for x in kept if x is not None) == sorted([0, *(i for i in texts if comp[i] == i)]) and kept.count(None) == 2
