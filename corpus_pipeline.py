@@ -14,7 +14,7 @@ from scaleloom.llm.common import stash, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told; fills in missing labels."""
+    """Drops documents whose language cannot be told; labels become the predictions."""
     return language_id.drop_unknown(docs)
 
 

@@ -108,19 +108,26 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language cannot be told, that is those without a letter; ``lang`` becomes the prediction where it is null."""
+    """``docs`` without the rows whose language cannot be told, that is those without a letter; ``lang`` becomes the prediction of ``identify``.
+
+    A label that the model has not learnt (all its rows are held out) stays, as no prediction could confirm it.
+    If nothing can be learnt every row with a letter stays as it is.
+    """
     at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, ~held_out()))
 
     def run(batches):
         m = shared.value
+        learnt = {None} if m is None else {None, *(c for w in m.within.values() for c in w.classes)}
         for b in batches:
             texts, langs = b.column(at).to_pylist(), b.column(lang_at).to_pylist()
-            keep = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
-            missing = [i for i in keep if langs[i] is None]
-            if missing:
-                for i, v in zip(missing, m.predict(np.array([profile(texts[i]) for i in missing]))[0], strict=True):
+            keep = [i for i, t in enumerate(texts) if has_letter(t)]
+            judged = [i for i in keep if m is not None and langs[i] in learnt]
+            for start in range(0, len(judged), 512):
+                part = judged[start : start + 512]
+                for i, v in zip(part, m.predict(np.array([profile(texts[i]) for i in part]))[0], strict=True):
                     langs[i] = v
+            if judged:
                 b = b.set_column(lang_at, b.schema.field(lang_at), pa.array(langs, b.schema.field(lang_at).type))
             yield b.take(pa.array(keep, pa.int64()))
 

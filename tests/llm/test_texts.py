@@ -153,6 +153,23 @@ def test_language(spark):
     assert none[0].lang_pred == "und" and language_id.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_language_stage_takes_the_prediction(spark):
+    rnd = random.Random(8)
+    vocab = {"en": "the of and thing ing that was", "de": "der die und nicht schön über", "fr": "le la et été que être", "es": "el los y que más año"}
+    true = {i: k for i, k in enumerate(list(vocab) * 100)}
+    wrong = {i: rnd.choice([k for k in vocab if k != true[i]]) for i in true if i % 20 == 3}
+    rows = [(i, " ".join(rnd.choice(vocab[k].split()) for _ in range(30)), wrong.get(i, k), "", "", "") for i, k in true.items()]
+    frame = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.lang for r in language_id.drop_unknown(frame).collect()}
+    assert got == {r.doc_id: r.lang_pred for r in language_id.identify(frame).collect()}
+    assert sum(got[i] == true[i] for i in wrong) >= 0.9 * len(wrong) and sum(got[i] == k for i, k in true.items()) >= 0.99 * len(true)
+    held = frame.where(language_id.held_out()).first().doc_id
+    other = frame.selectExpr("doc_id", "text", f"if(doc_id = {held}, 'tlh', lang) lang", "source", "fp", "host")
+    assert language_id.drop_unknown(other).where(f"doc_id = {held}").first().lang == "tlh"
+    unlabelled = spark.createDataFrame([(1, "abc", None, "", "", ""), (2, "1 2", None, "", "", ""), (None, "x", None, "", "", "")], DOCS)
+    assert {(r.doc_id, r.lang) for r in language_id.drop_unknown(unlabelled).collect()} == {(1, None), (None, None)}
+
+
 def test_similar_texts(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "BLOCK", 7)  # lists go by in blocks
     rnd = random.Random(12)
