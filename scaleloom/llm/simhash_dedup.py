@@ -29,13 +29,14 @@ SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
 DIRECT = 64
 _CHUNK = 1 << 15
 
-#: Similarity of texts: words of a shingle and the least Jaccard similarity; bytes of the wide fingerprint and words of
-#: its shingles; positions of a key, keys, and least bytes shared; members of a list that are compared at once; rows of
-#: a bucket; lists that are broadcast at most.
+#: Similarity of texts: words of a shingle and the least Jaccard similarity; bytes of the wide fingerprint; positions of
+#: a key, keys, and least bytes shared; members of a list that are compared at once; rows of a bucket; lists that are
+#: broadcast at most. Two texts of similarity s share a byte in place with probability s + (1 - s) / 256, whatever kind
+#: of edit parts them, so the chance to miss a pair of 0.8 follows: about 1e-7 to share no key, 2e-8 to share too few bytes.
 VERIFY, SIMILARITY = 5, 0.8
-WIDE, WIDE_SHINGLE, KEY, KEYS, LEAST_SHARED = 64, 2, 4, 128, 14
+WIDE, KEY, KEYS, LEAST_SHARED = 64, 4, 48, 32
 BLOCK, BUCKET, BROADCAST_LISTS = 1000, 5000, 1_000_000
-_SPREAD = np.random.default_rng(5).integers(0, 1 << 63, WIDE // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPREAD = np.random.default_rng(5).integers(0, 1 << 63, (WIDE, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Every WIDE / KEY keys use each position once.
 _POSITIONS = np.concatenate([np.random.default_rng(i).permutation(WIDE).reshape(-1, KEY) for i in range(KEYS * KEY // WIDE)])
 
@@ -110,16 +111,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 # --- similarity of texts -----------------------------------------------------------------------
 
 
+def _shingles(words: list[bytes]) -> np.ndarray:
+    """64 bits of hash of each shingle of VERIFY words; fewer words are one shingle."""
+    if len(words) <= VERIFY:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in zip(*(words[i:] for i in range(VERIFY)), strict=False)], np.uint64)
+
+
 def wide_fingerprint(words: list[bytes]) -> bytes:
-    """SimHash of WIDE bytes over the WIDE_SHINGLE-word shingles; one 64-bit hash is spread over all bits."""
-    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in zip(*(words[i:] for i in range(WIDE_SHINGLE)), strict=False)], np.uint64)
-    ones = np.zeros(8 * WIDE, np.int64)
-    for i in range(0, len(hashes), 4096):
-        part = hashes[i : i + 4096, None] * _SPREAD
-        part = (part ^ part >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
-        part ^= part >> np.uint64(32)
-        ones += np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
-    return np.packbits(2 * ones > len(hashes)).tobytes()
+    """WIDE bytes, each of the least of the shingles' hashes in an order of its own."""
+    hashes = _shingles(words)
+    least = np.full(WIDE, ~np.uint64(0))
+    for i in range(0, len(hashes), 512):
+        part = hashes[i : i + 512] * _SPREAD
+        part ^= part >> np.uint64(31)
+        part *= np.uint64(0xD6E8FEB86659FD93)
+        least = np.minimum(least, part.min(axis=1))
+    return (least & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def _words(data: bytes | None) -> list[bytes]:
@@ -214,17 +222,17 @@ def _shingle_sets(batches):
     for b in batches:
         out = []
         for t in b.column(1).cast(pa.binary()).to_pylist():
-            w = _words(t)
-            out.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + VERIFY]), SEED) for i in range(max(1, len(w) - VERIFY + 1))], np.uint64)).view(np.int64))
+            out.append(np.unique(_shingles(_words(t))).view(np.int64))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id and component_id for every row of ``docs``: components of texts whose sets of VERIFY-word shingles have a Jaccard similarity of SIMILARITY or more.
 
-    Two differing bits are far too few for that similarity, so this takes fingerprints of WIDE bytes
-    over shorter shingles. The index has a posting for each of KEYS choices of KEY positions; members
-    of a list tally their shared bytes, and pairs with LEAST_SHARED are verified on their texts. No
+    Two differing bits are far too few for that similarity, and any SimHash of it shares too few whole
+    bytes where a block of words is added, cut or replaced. The positional bytes are therefore those of
+    least hashes of the same shingles that are verified. The index has a posting for each of KEYS choices
+    of KEY positions; members of a list tally their shared bytes, and pairs with LEAST_SHARED are verified on their texts. No
     list is cut: one that is longer than BLOCK is compared block by block, its pairs never being rows.
     Equal sequences of words are one node. A null doc_id never names a component.
     """

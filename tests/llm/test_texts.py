@@ -207,3 +207,22 @@ def test_similar_texts(spark, monkeypatch):
     assert simhash_dedup.similar(frame.limit(0)).count() == 0
     kept = [r.doc_id for r in simhash_dedup.keep_one_similar(frame).collect()]
     assert sorted(x for x in kept if x is not None) == sorted([0, *(i for i in texts if comp[i] == i)]) and kept.count(None) == 2
+
+
+def test_similar_texts_parted_by_one_block(spark):
+    """A block of words added, cut or replaced: the five-word similarity is that of any shorter shingle."""
+    rnd = random.Random(21)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    texts, wanted = [], []
+    while len(wanted) < 240:
+        n, kind, j = rnd.choice([60, 100, 400]), len(wanted) % 3, rnd.uniform(0.8, 0.85)
+        a = [word() for _ in range(n)]
+        at = rnd.randrange(n // 2)
+        new = [word() for _ in range(int((n * (1 / j - 1), 0, n * (1 - j) / (1 + j))[kind]))]
+        b = a[:at] + new + a[at + int((0, n * (1 - j), n * (1 - j) / (1 + j))[kind]) :]
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) < 0.85:
+            wanted.append((len(texts), len(texts) + 1))
+            texts += [" ".join(a), " ".join(b)]
+    comp = {r.doc_id: r.component_id for r in simhash_dedup.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [comp[b] for _, b in wanted] == [a for a, _ in wanted]
