@@ -3,9 +3,10 @@
 A source's documents are cut into blocks. Block i of a source of weight w is released at slot
 floor((i - 1) / w) and due at ceil(i / w); at each slot the released block with the earliest deadline
 runs. On one resource with weights that sum to one this meets every deadline, so at any slot a source
-has had its share to within less than one block. Weights are multiples of 1 / QUANTUM, so the schedule
-repeats after QUANTUM slots: one period is computed on the driver and laid out for any number of blocks
-by arithmetic. When a source has no block left, a new phase begins with the weights of the others.
+has had its share to within less than one block. Weights are exact rationals (a float is one), so this
+holds against the weights themselves at any number of blocks; a quantum rounds them if one is asked for.
+The schedule is computed on the driver, one entry for a block, and joined by source and block. When a
+source has no block left, a new phase begins with the weights of the others.
 
 Edge cases: a null source is a source of its own; sources without a positive weight come last, in a
 phase with equal weights; null ids and repeated rows each get their place; an empty table gives no
@@ -15,17 +16,19 @@ rows; of clashing column names the mixing's own (mix_*) win.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Mapping
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stash
 
-#: Documents in a block, slots of a period, and rows that one sorting group of a source holds.
-BLOCK, QUANTUM, GROUP = 64, 1000, 2_000
+#: Documents in a block, rows that one sorting group of a source holds, and blocks or groups that are broadcast at most.
+BLOCK, GROUP, BROADCAST_ROWS = 64, 2_000, 1_000_000
 OWN = ("mix_phase", "mix_slot", "mix_position")
 
 
@@ -44,57 +47,62 @@ def shares(weights: Mapping, quantum: int) -> dict:
     return out
 
 
-def period(share: Mapping) -> dict:
-    """The slots of each source in one period: earliest deadline first over released blocks."""
+def exact(weights: Mapping) -> dict:
+    """Whole numbers in the very proportions of the weights."""
+    parts = {k: Fraction(w) for k, w in weights.items()}
+    whole = lcm(*(p.denominator for p in parts.values()))
+    return {k: int(p * whole) for k, p in parts.items()}
+
+
+def period(share: Mapping, blocks: Mapping | None = None) -> dict:
+    """The slots of each source: earliest deadline first over released blocks, for one period or until a source has run its ``blocks``."""
     q = sum(share.values())
     keys = sorted(share, key=lambda k: (str(k), k is None))
-    release: list[list] = [[] for _ in range(q)]
-    for n, k in enumerate(keys):
-        release[0].append((-(-q // share[k]), n, 1))
-    ready: list = []
     slots: dict = {k: [] for k in keys}
-    for t in range(q):
-        for job in release[t]:
-            heapq.heappush(ready, job)
+    ready = [(-(-q // share[k]), n, 1) for n, k in enumerate(keys)]
+    heapq.heapify(ready)
+    later: list = []  # (release, job)
+    t = 0
+    while t < q:
+        while later and later[0][0] <= t:
+            heapq.heappush(ready, heapq.heappop(later)[1])
         _, n, i = heapq.heappop(ready)
-        p = share[keys[n]]
-        slots[keys[n]].append(t)
-        if i < p:
-            job = (-(-(i + 1) * q // p), n, i + 1)
-            at = i * q // p
-            if at <= t:
-                heapq.heappush(ready, job)
-            else:
-                release[at].append(job)
+        k = keys[n]
+        slots[k].append(t)
+        t += 1
+        if blocks and i == blocks[k]:
+            break
+        heapq.heappush(later, (i * q // share[k], (-(-(i + 1) * q // share[k]), n, i + 1)))
     return slots
 
 
-def phases(blocks: Mapping, weights: Mapping, quantum: int = QUANTUM) -> list[tuple]:
-    """(source, phase, first block, block after the last, first slot, slots of a period, slots of the source in it)."""
+def phases(blocks: Mapping, weights: Mapping, quantum: int | None = None) -> list[tuple]:
+    """(source, phase, first block, slots of the blocks from it on)."""
     left = {k: n for k, n in blocks.items() if n}
     done = dict.fromkeys(left, 0)
     out, at, phase = [], 0, 0
     while left:
         active = {k: weights.get(k) or 0 for k in left if (weights.get(k) or 0) > 0} or dict.fromkeys(left, 1)
-        share = shares(active, quantum)
-        q, slots = sum(share.values()), period(share)
-        end = min((left[k] - 1) // len(slots[k]) * q + slots[k][(left[k] - 1) % len(slots[k])] + 1 for k in active)
+        share = shares(active, quantum) if quantum else exact(active)
+        whole = min((left[k] - 1) // share[k] for k in active)  # periods before that in which a source ends
+        q, one = sum(share.values()), period(share) if whole else dict.fromkeys(active, ())
+        last = period(share, {k: left[k] - whole * len(one[k]) for k in active})
+        slots = {k: [j * q + t for j in range(whole) for t in one[k]] + [whole * q + t for t in last[k]] for k in active}
         for k in active:
-            n = end // q * len(slots[k]) + bisect_left(slots[k], end % q)
-            out.append((k, phase, done[k], done[k] + n, at, q, slots[k]))
-            done[k] += n
-            left[k] -= n
+            out.append((k, phase, done[k], [at + t for t in slots[k]]))
+            done[k] += len(slots[k])
+            left[k] -= len(slots[k])
+        at += sum(map(len, slots.values()))
         left = {k: n for k, n in left.items() if n}
-        at += end
         phase += 1
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK, quantum: int = QUANTUM, key: str = "source", seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK, quantum: int | None = None, key: str = "source", seed: int = 0) -> DataFrame:
     """``docs`` with mix_phase, mix_slot (of the block) and mix_position (of the document: unique, in the order of slots).
 
     Without ``weights`` a source weighs the square root of its number of documents. Only one row for each
-    source reaches the driver. Places within a source come from hash groups of bounded size with their
+    source reaches the driver, which lays out the blocks. Places within a source come from hash groups of bounded size with their
     offsets, so a source with a third of all rows is dealt over many tasks.
     """
     docs = docs.drop(*OWN)
@@ -103,33 +111,25 @@ def mix(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK, qua
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
     groups = {k: -(-n // GROUP) for k, n in counts.items()}
-    sizes = spark.createDataFrame(list(groups.items()), T.StructType([T.StructField("_key", kind), T.StructField("_groups", T.LongType())]))
+    sizes = spark.createDataFrame([(k, g, n) for n, (k, g) in enumerate(groups.items())], T.StructType([T.StructField("_key", kind), T.StructField("_groups", T.LongType()), T.StructField("_n", T.IntegerType())]))
     rows = rows.join(F.broadcast(sizes), F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_g", F.pmod(F.col("_h"), F.col("_groups"))).drop("_key", "_groups")
     weights = weights if weights is not None else {k: n**0.5 for k, n in counts.items()}
     plan = phases({k: -(-n // block) for k, n in counts.items()}, weights, quantum)
-    schema = T.StructType([
-        T.StructField("_key", kind), T.StructField("mix_phase", T.IntegerType()), T.StructField("_first", T.LongType()), T.StructField("_after", T.LongType()),
-        T.StructField("_at", T.LongType()), T.StructField("_q", T.LongType()), T.StructField("_slots", T.ArrayType(T.LongType())),
-    ])
-    by_source: dict = {}
-    for k, *p in plan:
-        by_source.setdefault(k, []).append(p)
-    schema = T.StructType([schema[0], T.StructField("_plan", T.ArrayType(T.StructType(schema.fields[1:])))])
-    table = spark.createDataFrame([(k, [tuple(p) for p in v]) for k, v in by_source.items()], schema)
+    number = {k: n for n, k in enumerate(counts)}
+    schedule = pa.table({
+        "_n": pa.array([number[k] for k, _, _, slots in plan for _ in slots], pa.int32()), "_b": pa.array([first + i for _, _, first, slots in plan for i in range(len(slots))], pa.int64()),
+        "mix_phase": pa.array([p for _, p, _, slots in plan for _ in slots], pa.int32()), "mix_slot": pa.array([t for *_, slots in plan for t in slots], pa.int64()),
+    })
+    table = spark.createDataFrame(schedule)
     per_group = rows.groupBy(F.col(key).alias("_key"), "_g").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("_key").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = stash(per_group.select("_key", F.col("_g").alias("_og"), before.alias("_before")), "offsets")
     order = Window.partitionBy(key, "_g").orderBy("_h", *[F.col(c) for c, t in docs.dtypes if c == "doc_id"], F.xxhash64(*[F.col(c) for c, t in docs.dtypes if not t.startswith(("map", "variant"))]))
     ranked = rows.withColumn("_r", F.row_number().over(order) - 1)
-    offsets = F.broadcast(offsets) if sum(groups.values()) <= 1_000_000 else offsets
+    offsets = F.broadcast(offsets) if sum(groups.values()) <= BROADCAST_ROWS else offsets
     ranked = ranked.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_g") == F.col("_og")), "left").withColumn("_r", F.col("_r") + F.col("_before")).drop("_key", "_og", "_before")
-    placed = ranked.join(F.broadcast(table), F.col(key).eqNullSafe(F.col("_key")), "left")
-    b = F.floor(F.col("_r") / block)
-    placed = placed.withColumn("_b", b).withColumn("_p", F.filter("_plan", lambda p: (F.col("_b") >= p["_first"]) & (F.col("_b") < p["_after"]))[0]).drop("_plan")
-    i = F.col("_b") - F.col("_p._first")
-    n = F.size("_p._slots")
-    slot = F.col("_p._at") + F.floor(i / n) * F.col("_p._q") + F.col("_p._slots")[F.pmod(i, n).cast("int")]
-    placed = placed.withColumn("mix_phase", F.col("_p.mix_phase")).withColumn("mix_slot", slot)
+    ranked = ranked.withColumn("_b", F.floor(F.col("_r") / block))
+    placed = ranked.join(F.broadcast(table) if schedule.num_rows <= BROADCAST_ROWS else table, ["_n", "_b"], "left")
     return placed.withColumn("mix_position", F.col("mix_slot") * block + F.pmod(F.col("_r"), F.lit(block))).select(*docs.columns, *OWN)
 
 
