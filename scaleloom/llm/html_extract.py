@@ -4,7 +4,9 @@ The documents of a host are merged into one tree: for each path of elements the
 each sequence of children (presentation) and each content occurs. Branches that look and read the
 same on a host's pages have low entropy, hence low importance, and are removed from each page, beside
 the branches that name themselves (nav, footer, class="ad", ...). What flows in the main branch is
-never removed by importance: copies of a page on one host must not erase each other.
+never removed by importance, nor are the elements around it judged; on a page without article or main
+those are spared that hold most of its text. Pages of a host with equal blocks count once, so copies of a
+page do not erase each other.
 
 Edge cases: null or empty html gives an empty text; null urls form a host of their own; broken markup
 is read leniently; repeated rows each get their row; an empty table gives no rows; other columns are
@@ -65,15 +67,16 @@ def parse(page: str | None) -> list[tuple[str, bool, str, tuple[str, ...]]]:
     if not page:
         return []
     blocks, parts = [], []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, boilerplate, in main
+    stack: list[tuple[str, str, bool, bool, int]] = [("", "", False, False, 0)]  # tag, path, boilerplate, in main, number of the element
+    opened = 0
 
     def flush():
         if parts:
             text = _SPACE.sub(" ", htmllib.unescape("".join(parts))).strip()
             parts.clear()
             if text and not stack[-1][2]:
-                open_paths = tuple(p for t, p, _, m in stack[1:] if not m and t in _BLOCK and t not in _SPINE)
-                blocks.append((stack[-1][1], stack[-1][3], text, open_paths))
+                judged = [(n, p) for t, p, _, m, n in stack[1:] if not m and t in _BLOCK and t not in _SPINE]
+                blocks.append((stack[-1][1], stack[-1][3], text, judged))
 
     def pop_to(i: int):
         if any(s[0] in _BLOCK for s in stack[i:]):
@@ -126,13 +129,27 @@ def parse(page: str | None) -> list[tuple[str, bool, str, tuple[str, ...]]]:
         if tag == "body" and any(s[0] == "head" for s in stack):
             del stack[next(i for i, s in enumerate(stack) if s[0] == "head") :]
         drop, sign = _named_boilerplate(tag, m[3])
-        _, path, gone, main = stack[-1]
+        _, path, gone, main, _ = stack[-1]
+        opened += 1
         if tag in _BLOCK or drop or tag == "head":
-            stack.append((tag, f"{path}/{sign}", gone or drop, main or tag in _MAIN))
+            stack.append((tag, f"{path}/{sign}", gone or drop, main or tag in _MAIN, opened))
         else:
-            stack.append((tag, path, gone, main))
+            stack.append((tag, path, gone, main, opened))
     flush()
-    return blocks
+    spared = _around_the_text(blocks)
+    return [(path, main, text, tuple(p for n, p in judged if n not in spared)) for path, main, text, judged in blocks]
+
+
+def _around_the_text(blocks: list[tuple[str, bool, str, list[tuple[int, str]]]]) -> set[int]:
+    """Numbers of the elements around main branches or, on a page without one, of those that hold most of its text."""
+    if any(main for _, main, _, _ in blocks):
+        return {n for _, main, _, judged in blocks if main for n, _ in judged}
+    held: dict[int, int] = {}
+    for _, _, text, judged in blocks:
+        for n, _ in judged:
+            held[n] = held.get(n, 0) + len(text)
+    half = sum(len(text) for _, _, text, _ in blocks) / 2
+    return {n for n, size in held.items() if size > half}
 
 
 def text_of(page: str | None, low: frozenset[str] = frozenset()) -> str:
@@ -144,31 +161,34 @@ def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def branches_of(page: str | None) -> dict[str, tuple[int, int]]:
-    """Of each branch that importance may judge: hash of its presentation and of its content."""
+def branches_of(page: str | None) -> tuple[int, dict[str, tuple[int, int]]]:
+    """Hash of the blocks of the page, and of each branch that importance may judge: hash of its presentation and of its content."""
+    blocks = parse(page)
     found: dict[str, tuple[list[str], list[str]]] = {}
-    for path, _, text, over in parse(page):
+    for path, _, text, over in blocks:
         for p in over:
             look, said = found.setdefault(p, ([], []))
             look.append(path)
             said.append(text)
-    return {p: (_hash("|".join(a)), _hash("\n".join(b))) for p, (a, b) in found.items()}
+    whole = _hash("\n".join(f"{path}|{text}" for path, _, text, _ in blocks)) if found else 0
+    return whole, {p: (_hash("|".join(a)), _hash("\n".join(b))) for p, (a, b) in found.items()}
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, n_pages, importance) of the branches of each host's merged tree.
 
     Importance is a weighted mean of the normalised entropies of the presentations and of the
-    contents that a branch has on the host's pages. Equal occurrences are counted before the shuffle.
+    contents that a branch has on the host's pages; n_pages are those with different blocks.
     """
 
     def emit(batches):
         for b in batches:
-            rows = [(h, p, *x) for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p, x in branches_of(page).items()]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "look", "said"])
+            found = [(h, *branches_of(page)) for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            rows = [(h, p, *x, whole) for h, whole, branches in found for p, x in branches.items()]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "look", "said", "page"])
 
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(emit, "host string, path string, look bigint, said bigint")
+    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(emit, "host string, path string, look bigint, said bigint, page bigint").distinct()
     both = seen.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("look").alias("v")), F.struct(F.lit(1).alias("side"), F.col("said").alias("v")))).alias("x"))
     counts = both.groupBy("host", "path", "x.side", "x.v").agg(F.count("*").alias("n"))
     by_side = counts.groupBy("host", "path", "side").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))

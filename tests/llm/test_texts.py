@@ -136,6 +136,23 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_html_copies_do_not_erase_the_article(spark):
+    story = lambda i: f"<h1>Title {i}</h1><p>Story {i} differs from the others {i * i}</p>"
+    side = "<div class=box>Same words</div>"
+    rows, want = [], {}
+    for host, wrap in (("a", "<body><div id=page>%s<article>%s</article></div>"), ("b", "<body><div id=page>%s<div class=text>%s</div></div>")):
+        for i in range(100):  # 80 copies and 20 of their own
+            n = 0 if i < 80 else i
+            key = len(rows)
+            rows.append((key, f"http://{host}.com/{i}", wrap % (side, story(n)), "", ""))
+            want[key] = f"Title {n}\n\nStory {n} differs from the others {n * n}"
+    for i in range(5):
+        rows.append((1000 + i, f"http://c.com/{i}", f"<body><div id=page><article>{story(3)}</article></div>", "", ""))
+        want[1000 + i] = "Title 3\n\nStory 3 differs from the others 9"
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert out == want
+
+
 def test_language(spark):
     rnd = random.Random(1)
     vocab = {"en": "the of and thing ing that was", "de": "der die und nicht schön über", "fr": "le la et été que être", "es": "el los y que más año"}
