@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
 DIM = 4096
-_LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 20
 #: ASCII bytes other than letters become one class; bytes of longer code points stay.
 _CLASS = np.arange(256, dtype=np.uint32)
@@ -17,7 +14,8 @@ for _c in (*range(65, 91), *range(97, 123)):
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a code point of category L occurs: numerals such as one half or a superscript two are none."""
+    return bool(text) and next(filter(str.isalpha, text), None) is not None
 
 
 def profile(text: str | None, keep_marks: bool = False) -> np.ndarray:

@@ -5,7 +5,7 @@ a condition admits; profiles are computed on the executors and only they reach t
 is one narrow pass over all rows and sees nothing but the text.
 
 Edge cases: a null or letterless text is ``und`` with score 0; if nothing can be learnt all are ``und``;
-rows with a null label are not learnt from; null ids and repeated rows each get their row; an empty
+rows with a null label are not learnt from, nor labels beyond the LANGUAGES most frequent ones; null ids and repeated rows each get their row; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .features import DIM, OneVersusOne, has_letter, profile
 
 UND = "und"
-#: Bound of the training sample: documents expected of each language.
-PER_LANGUAGE = 600
+#: Bounds of the training sample: documents expected of each language, and languages (of equally frequent ones those first by name).
+PER_LANGUAGE, LANGUAGES = 600, 96
 #: Closely related languages; a label that is not here is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv"),
@@ -64,12 +64,12 @@ def _profiles(batches):
 def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from the rows of ``docs`` (doc_id, text, lang) where ``learn`` holds and lang is not null."""
     rows = docs.where(learn & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
     key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
-    chosen = rows.where(F.pmod(key, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    chosen = rows.where(F.col("lang").isin(list(counts))).where(F.pmod(key, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
     got = chosen.select("lang", "text").mapInArrow(_profiles, "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
