@@ -3,6 +3,8 @@
 import random
 import re
 from collections import Counter
+from fractions import Fraction
+from math import ceil, floor
 
 import numpy as np
 
@@ -13,63 +15,75 @@ from scaleloom.llm.queries import QUERIES
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k string, h string, mix_slot string"
 
 
-def test_period_deviates_by_less_than_a_block():
-    rnd = random.Random(4)
-    for n in (1, 2, 5, 17):
-        share = mixing.shares({i: rnd.random() + 0.01 for i in range(n)}, 500)
-        assert sum(share.values()) == 500
-        slots = mixing.period(share)
-        assert sorted(t for s in slots.values() for t in s) == list(range(500))
-        for k, s in slots.items():
-            for i, t in enumerate(s):  # within the window of each block
-                assert i * 500 // share[k] <= t < -(-(i + 1) * 500 // share[k])
-            done = np.cumsum(np.bincount(s, minlength=500))
-            assert np.abs(done - np.arange(1, 501) * share[k] / 500).max() < 1
-
-
-def simulate(blocks, weights, quantum):
-    """Step by step, with an explicit clock."""
-    left, out = dict(blocks), []
-    while left:
-        share = mixing.shares({k: weights[k] for k in left}, quantum)
-        q, t, got, gone = sum(share.values()), 0, dict.fromkeys(left, 0), False
-        while not gone:
-            ready = [(-(-(got[k] + 1) * q // share[k]), str(k), k) for k in left if got[k] * q // share[k] <= t]
-            k = min(ready)[2]
-            out.append(k)
-            got[k] += 1
-            left[k] -= 1
-            t += 1
-            gone = left[k] == 0
-        left = {k: n for k, n in left.items() if n}
+def simulate(blocks, weights):
+    """Step by step, with an explicit clock and fractions."""
+    blocks = {k: n for k, n in blocks.items() if n}
+    w = {k: Fraction(weights[k]) for k in blocks}
+
+    def when(v):
+        return sum(min(n, w[k] * v) for k, n in blocks.items())
+
+    got, out = dict.fromkeys(blocks, 0), []
+    for t in range(sum(blocks.values())):
+        ready = [(ceil(when((got[k] + 1) / w[k])), str(k), k) for k in blocks if got[k] < blocks[k] and floor(when(got[k] / w[k])) <= t]
+        due, _, k = min(ready)
+        assert due > t
+        out.append(k)
+        got[k] += 1
     return out
 
 
-def test_shares_of_the_weights_themselves():
-    """Deviation from the unrounded weights over many blocks; one source is due far less than a thousandth."""
+def in_order(plan):
+    return [k for _, k in sorted((t, k) for k, v in plan.items() for t, _ in v)]
+
+
+def test_schedule_is_that_of_the_simulation():
+    rnd = random.Random(4)
+    for n in (1, 2, 5, 9):
+        weights = {f"s{i}": rnd.choice([1, 2, 0.5, rnd.random() + 0.01, 1 / 3]) for i in range(n)}
+        blocks = {k: rnd.randrange(0, 40) for k in weights}
+        plan = mixing.schedule(blocks, weights)
+        assert in_order(plan) == simulate(blocks, weights)
+        assert {k: len(v) for k, v in plan.items()} == {k: v for k, v in blocks.items() if v}
+    assert in_order(mixing.schedule({"a": 2, "b": 3, "z": 2}, {"a": 1, "b": 1.0, "z": 0})) == ["a", "b", "a", "b", "b", "z", "z"]
+
+
+def test_deviation_below_one_block_over_a_million_slots():
+    """Against the very weights, sources running out on the way."""
     weights = {"big": 10_000**0.5, **{f"s{i:02}": 1000**0.5 for i in range(20)}, "rare": 0.02}
-    total = sum(weights.values())
-    blocks = {k: 2 if k == "rare" else 20_000 for k in weights}
-    first = [(k, slots) for k, phase, _, slots in mixing.phases(blocks, weights) if phase == 0]
-    end = sum(len(slots) for _, slots in first)
-    assert end > 30_000 and sorted(t for _, s in first for t in s) == list(range(end))
-    for k, slots in first:
-        done = np.cumsum(np.bincount(slots, minlength=end))
-        assert np.abs(done - np.arange(1, end + 1) * (weights[k] / total)).max() < 1, k
+    blocks = {k: 2 if k == "rare" else 700_000 if k == "big" else 15_000 + 10 * int(k[1:]) for k in weights}
+    plan = mixing.schedule(blocks, weights)
+    total = sum(blocks.values())
+    assert total > 1_000_000 and sorted(t for v in plan.values() for t, _ in v) == list(range(total))
+    ends = sorted(n / weights[k] for k, n in blocks.items())
+    at = [sum(min(n, weights[k] * v) for k, n in blocks.items()) for v in [0, *ends]]
+    for k, v in plan.items():
+        share = np.interp(np.arange(1, total + 1), at, [min(blocks[k], weights[k] * x) for x in [0, *ends]])
+        done = np.cumsum(np.bincount([t for t, _ in v], minlength=total))
+        assert np.abs(done - share).max() < 1 + 1e-6, k
+
+
+def test_many_sources():
+    rnd = random.Random(2)
+    blocks = {i: rnd.randrange(1, 30) for i in range(10_000)}
+    assert sum(map(len, mixing.schedule(blocks, {k: n**0.5 for k, n in blocks.items()}).values())) == sum(blocks.values())
+    assert mixing.block_size(10**10) == 10_000 and mixing.block_size(10**6) == mixing.BLOCK
 
 
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP", 37)
-    rows = [(i, "t", None, "abc"[i % 7 % 3] if i % 11 else None, 1, "", "", "clash") for i in range(2000)] + [(None, None, None, "a", None, None, None, None)] * 3
+    rows = [(i, "t", None, "abc"[i % 7 % 3] if i % 11 else None, 1, f"k{i}", "", "clash") for i in range(2000)] + [(None, None, None, "a", None, None, None, None)] * 3
     weights = {"a": 5.0, "b": 1.0, "c": 0.5, None: 2.0}
-    out = mixing.mix(spark.createDataFrame(rows, DOCS), weights, block=8, quantum=20).collect()
+    frame = spark.createDataFrame(rows, DOCS.replace("k string", "_mix_hash string"))
+    out = mixing.mix(frame, weights, block=8).collect()
+    assert all(r._mix_hash == f"k{r.doc_id}" for r in out if r.doc_id is not None)
     assert len(out) == len(rows) and len({r.mix_position for r in out}) == len(rows)
     by_slot = {}
     for r in out:
         by_slot.setdefault(r.mix_slot, []).append(r.source)
     n = Counter(r[3] for r in rows)
     assert all(len(set(v)) == 1 and len(v) <= 8 for v in by_slot.values())
-    assert [by_slot[t][0] for t in range(len(by_slot))] == simulate({k: -(-v // 8) for k, v in n.items()}, weights, 20)
+    assert [by_slot[t][0] for t in range(len(by_slot))] == simulate({k: -(-v // 8) for k, v in n.items()}, weights)
     ids = [r.doc_id for r in mixing.arranged(spark.createDataFrame(rows, DOCS), block=8).collect()]
     assert len(ids) == len(rows)
     places = [r.mix_position for r in mixing.arranged(spark.createDataFrame(rows, DOCS), block=8).collect()]
@@ -133,13 +147,34 @@ def test_classifier(spark):
     rows += [(9000, None, None, None, None, None, None, None), (None, "", "", "", 0, "", "", "")]
     out = quality_classifier.score(spark.createDataFrame(rows, DOCS), spark.createDataFrame([*labels, (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")).collect()
     assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
-    held = [r for r in out if r.doc_id is not None and r.doc_id < 600 and r.doc_id % 2 == 0]
+    held = [r for r in out if r.doc_id is not None and r.doc_id < 600 and (r.doc_id % 2 == 0 or r.held_out)]
+    assert sum(r.held_out for r in held) > 50
     assert sum(r.good == (r.doc_id % 3 != 0) for r in held) >= 0.97 * len(held)
     one = quality_classifier.score(spark.createDataFrame(rows[:5], DOCS), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).collect()
     assert {r.score for r in one} == {1.0}
     assert quality_classifier.score(spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_surest_brute_force(spark):
+    rnd = np.random.default_rng(3)
+    views = quality_classifier.Views(0.5)
+    views.weights = [rnd.normal(size=features.DIM + 1).astype(np.float32), rnd.normal(size=quality_classifier.META + 1).astype(np.float32)]
+    rows = [(i, f"text {i * i % 7} of {i}", "en", f"s{i % 4}", i * i) for i in range(90)]
+    known = [{1, 2, 3}, {4, 5}]
+    want = set()
+    for view in (0, 1):
+        of = {}
+        for k, text, lang, source, n in rows:
+            x = features.profile(text, keep_marks=True) if view == 0 else quality_classifier.metadata(lang, source, n)
+            of.setdefault(k, float(x @ views.weights[view][:-1] + views.weights[view][-1]))
+        free = [(m, k) for k, m in of.items() if k not in known[1 - view] and k < 90]
+        want |= {(view, 1, k) for m, k in sorted((-m, k) for m, k in free if m > 0)[:7]} | {(view, -1, k) for m, k in sorted((m, k) for m, k in free if m < 0)[:5]}
+    frame = spark.createDataFrame([(k, *r) for (k, *r) in rows[:90]], "key long, text string, lang string, source string, n_chars long").repartition(5)
+    got = quality_classifier.surest(frame.unionByName(frame), views, 7, 5, known).collect()
+    assert {(r.view, r.sign) for r in got} == {(r[0], r[1]) for r in want} and len(got) == len(want)
+    assert len({(r.view, r.sign, r.key) for r in got} & want) >= len(want) - 4  # ties and rounding
+
+
 def test_profile_in_chunks(monkeypatch):
     text = "Añ ß word " * 500
     whole = features.profile(text)
