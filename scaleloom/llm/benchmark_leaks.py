@@ -1,16 +1,18 @@
 """Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
 DataFrame functions only. Words are runs of letters and digits, lower-cased; shingles have five words
-(an item with fewer is one shingle). A window is as long as an item. Only windows that share a shingle
-with the benchmark can reach the similarity, so windows are laid where a shared shingle stands, at its
-place in the item. Their fingerprints meet those of items of the same length in an index of eight
-blocks of eight bits, each item filed under every value within two bits of its block: any pair within
-23 bits shares an entry. Pairs within RADIUS are verified by weighted Jaccard similarity, the weight of
-a shingle being how often it occurs.
-
-Edge cases: null or wordless texts and items match nothing; rows with a null doc_id or item_id match
-nothing; rows that repeat a doc_id count as one document; an empty table gives no rows; other columns
-are ignored. Shingles are compared by 64 bits of hash.
+(an item with fewer is one shingle). A window is as long as an item; windows stand at every word. A window
+of similarity 0.8 with an item of m shingles has at least 8/9 m (a text shorter than the item: 0.8 m)
+places with shingles of the benchmark, so those with fewer are passed over before their fingerprints are
+made: no window that could reach the similarity is lost. Fingerprints meet those of items of the same
+length in an index of eight blocks of eight bits, each item filed under every value within two bits of
+its block: any pair within 23 bits shares an entry, so all within RADIUS are found. They are verified by
+weighted Jaccard similarity, the weight of a shingle being how often it occurs.
+
+Edge cases: null or wordless texts and items match nothing; items with a null id match nothing; documents
+are told apart by their whole texts, so rows with a null doc_id, or with one that other texts have too,
+are judged by their own text (of several findings of a doc_id and an item the best is reported); an
+empty table gives no rows; other columns are ignored. Shingles are compared by 64 bits of hash, texts by 128.
 """
 
 from __future__ import annotations
@@ -66,50 +68,78 @@ def _block(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long")).cast("int")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, similarity, start_word, n_words: the best window of each pair that reaches SIMILARITY."""
+def text_key() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+def _starts(n: Column, k: Column) -> Column:
+    """The first words of all windows of ``n`` words that hold enough of the places ``p`` (sorted); ``size`` is the text's number of shingles."""
+    m, last = n - k + 1, F.col("size") + k - 1 - n
+    need = F.greatest(F.lit(1), F.ceil(F.lit(2 * SIMILARITY / (1 + SIMILARITY)) * m - 1e-9)).cast("int")
+    short = F.ceil(F.lit(SIMILARITY) * m - 1e-9).cast("int")
+    at = lambda j: F.get("p", j)
+    reach = lambda j: F.struct(F.greatest(F.lit(0), at(j + need - 1) - m + 1).alias("lo"), F.least(at(j), last).alias("hi"))
+    spans = F.filter(F.transform(F.sequence(F.lit(0), F.size("p") - need), reach), lambda x: x["lo"] <= x["hi"])
+    whole = F.when(F.size("p") >= short, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    inside = F.when(F.size("p") >= need, F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["lo"], x["hi"]))))).otherwise(F.array().cast("array<int>"))
+    return F.when(last < 0, whole).otherwise(inside)
+
+
+def leaking_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """text (its key), item_id, similarity, start_word, n_words: the best window of each pair that reaches SIMILARITY."""
     item = benchmark.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("w"))
     item = stash(item.select("item_id", "w", F.size("w").alias("n")).where("n > 0"), "items")
     sizes = sorted(r.k for r in item.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().collect())  # five values at most
+    if not sizes:
+        return docs.select(text_key().alias("text"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words")).limit(0)
     by_size = F.array().cast("array<bigint>")
     for k in sizes:
         by_size = F.when(F.least("n", F.lit(SHINGLE)) == k, shingles(F.col("w"), k)).otherwise(by_size)
     item = stash(item.select("item_id", "n", F.least("n", F.lit(SHINGLE)).alias("k"), by_size.alias("ih")).withColumn("ifp", simhash(F.col("ih"))), "items")
-    places = stash(item.select("n", "k", F.posexplode("ih").alias("at", "h")).distinct(), "places")
-    known = places.select("h").distinct()
+    lengths = stash(item.select("n", "k", F.explode("ih").alias("h")).distinct(), "lengths")
+    known = lengths.select("h").distinct()
     small = known.count() <= BROADCAST_SHINGLES
+    shared = lambda df: F.broadcast(df) if small else df
 
-    src = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    hashed = lambda d: let(words(F.col("text")), lambda w: F.array(*[F.struct(F.lit(k).alias("k"), shingles(w, k).alias("h")) for k in sizes])).alias("s")
-    if not sizes:
-        return src.select("doc_id", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words")).limit(0)
-    each = src.select("doc_id", F.explode(hashed(src)).alias("s")).select("doc_id", "s.k", F.posexplode("s.h").alias("pos", "h"))
-    hits = stash(each.join(F.broadcast(known) if small else known, "h", "left_semi"), "hits")
+    src = docs.where("text IS NOT NULL").select("text")
+    hashed = let(words(F.col("text")), lambda w: F.array(*[F.struct(F.lit(k).alias("k"), shingles(w, k).alias("h")) for k in sizes])).alias("s")
+    each = src.select(text_key().alias("text"), F.explode(hashed).alias("s")).select("text", "s.k", F.size("s.h").alias("size"), F.posexplode("s.h").alias("pos", "h"))
+    hits = stash(each.join(shared(known), "h", "left_semi"), "hits")
 
-    ids = hits.select("doc_id").distinct()
+    # places of one text with shingles of items of one length; windows that hold enough of them
+    places = hits.join(F.broadcast(lengths) if lengths.count() <= BROADCAST_SHINGLES else lengths, ["h", "k"]).groupBy("text", "k", "n", "size").agg(F.sort_array(F.collect_set("pos")).alias("p"))
+    starts = stash(places.select("text", "k", "n", _starts(F.col("n"), F.col("k")).alias("starts")).where(F.size("starts") > 0), "starts")
+    ids = starts.select("text").distinct()
     few = ids.count() <= BROADCAST_IDS
-    texts = src.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = stash(texts.select("doc_id", F.explode(hashed(src)).alias("s")).select("doc_id", "s.k", "s.h"), "hashed")
-    # a window of n words from where the item would begin, moved inside the text; a shorter text is one window
-    windows = hits.join(places, ["h", "k"]).select("doc_id", "k", "n", (F.col("pos") - F.col("at")).alias("start")).distinct()
-    windows = windows.join(texts, ["doc_id", "k"])
-    start = F.greatest(F.lit(0), F.least(F.col("start"), F.size("h") + F.col("k") - 1 - F.col("n")))
-    windows = windows.select("doc_id", "n", start.alias("start"), F.slice("h", start + 1, F.col("n") - F.col("k") + 1).alias("wh")).distinct()
+    texts = src.withColumn("key", text_key()).join((F.broadcast(ids) if few else ids).withColumnRenamed("text", "key"), "key", "left_semi").dropDuplicates(["key"])
+    texts = texts.select(F.col("key"), F.explode(hashed).alias("s")).select(F.col("key").alias("text"), "s.k", "s.h")
+    windows = starts.join(texts, ["text", "k"]).select("text", "k", "n", "h", F.explode("starts").alias("start"))
+    windows = windows.select("text", "n", "start", F.slice("h", F.col("start") + 1, F.col("n") - F.col("k") + 1).alias("wh"))
     windows = stash(windows.withColumn("wfp", simhash(F.col("wh"))), "leak_windows")
 
     near = [0, *(1 << i for i in range(BLOCK_BITS)), *((1 << i) + (1 << j) for i, j in combinations(range(BLOCK_BITS), NEAR))]
     blocks = lambda fp: F.posexplode(F.array(*[_block(F.col(fp), i) for i in range(BLOCKS)])).alias("slot", "value")
     index = item.select("item_id", "n", "ih", "ifp", blocks("ifp")).withColumn("flip", F.explode(F.array(*map(F.lit, near))))
     index = index.select("item_id", "n", "ifp", "slot", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-    probes = windows.select("doc_id", "n", "start", "wfp", blocks("wfp"))
-    pairs = probes.join(index, ["n", "slot", "value"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("doc_id", "n", "start", "item_id").distinct()
-    checked = pairs.join(windows.select("doc_id", "n", "start", "wh"), ["doc_id", "n", "start"]).join(item.select("item_id", "ih"), "item_id")
-    found = checked.select("doc_id", "item_id", F.round(weighted_similarity(F.col("wh"), F.col("ih")), 6).alias("similarity"), F.col("start").alias("start_word"), F.col("n").alias("n_words")).where(F.col("similarity") >= SIMILARITY)
+    probes = windows.select("text", "n", "start", "wfp", blocks("wfp"))
+    pairs = probes.join(index, ["n", "slot", "value"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("text", "n", "start", "item_id").distinct()
+    checked = pairs.join(windows.select("text", "n", "start", "wh"), ["text", "n", "start"]).join(item.select("item_id", "ih"), "item_id")
+    found = checked.select("text", "item_id", F.round(weighted_similarity(F.col("wh"), F.col("ih")), 6).alias("similarity"), F.col("start").alias("start_word"), F.col("n").alias("n_words")).where(F.col("similarity") >= SIMILARITY)
+    best = F.max_by(F.struct("similarity", "start_word", "n_words"), F.struct("similarity", -F.col("start_word")))
+    return found.groupBy("text", "item_id").agg(best.alias("b")).select("text", "item_id", "b.similarity", "b.start_word", "b.n_words")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, similarity, start_word, n_words: the best window of each pair that reaches SIMILARITY."""
+    found = stash(leaking_texts(docs, benchmark), "leaks")
+    owners = docs.where("doc_id IS NOT NULL").select("doc_id", text_key().alias("text"))
+    each = owners.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, "text")
     best = F.max_by(F.struct("similarity", "start_word", "n_words"), F.struct("similarity", -F.col("start_word")))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", "b.start_word", "b.n_words")
+    return each.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", "b.start_word", "b.n_words")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage."""
-    gone = stash(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text holds a benchmark passage."""
+    gone = stash(leaking_texts(docs, benchmark).select(F.col("text").alias("_leak")).distinct(), "leaks")
+    gone = (F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone).alias("leak_texts")
+    return docs.join(gone, text_key().eqNullSafe(F.col("leak_texts._leak")), "left_anti").select(*docs.columns)
