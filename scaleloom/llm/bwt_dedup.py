@@ -1,19 +1,25 @@
 """Removal of repeated byte strings by merging Burrows-Wheeler transforms of shards.
 
+0. Texts that are equal are one text; from LENGTH bytes on the later ones go whole.
 1. Anchors: the k-grams with the least hash in some string of LENGTH bytes. Equal strings choose equal
-   anchors, so what repeats lies in the windows around anchors that occur twice or more. Counting anchors
+   anchors, so what repeats lies in the windows around anchors that occur twice or more. Of equal anchors
+   in a row (runs, short periods) only so many are taken that every string holds one. Counting anchors
    needs only (hash, count), combined before the shuffle; the anchors that repeat are then joined.
 2. Windows with the same content are represented by the first of them; in the others every byte is covered.
-3. Windows that share an anchor but differ are cut into buckets of bounded size. In a bucket each shard
-   of windows gets its own transform; the transforms are merged by refining their interleave once for
-   each symbol of context. After LENGTH rounds the blocks of the interleave are the intervals of
-   suffixes with a common prefix of LENGTH; no suffixes are compared or sorted across shards.
-4. An anchor with more than HOT different windows does not fit a bucket: its strings go through a grouped
-   minimum on 128 bits of hash instead, which is exact and combines before the shuffle.
+3. Windows that share an anchor but differ are cut into buckets. Where more than VARIANTS share one, they
+   are told apart by more context: a window is halved into the strings that begin nearer to the anchor and
+   those that begin farther, each with all the bytes that its strings have in common as its new anchor;
+   halves with the same bytes are one again. After six halvings a window is one string, so no bucket is
+   larger than VARIANTS allows, whatever the data.
+4. In a bucket each shard of windows gets its own transform; the transforms are merged by refining their
+   interleave, a few symbols of context a round. After LENGTH symbols the blocks of the interleave are the
+   intervals of suffixes with a common prefix of LENGTH; no suffixes are compared or sorted across shards.
+5. Intervals are united for each document by window functions before they are gathered.
 
 Edge cases: null texts are empty; texts below LENGTH bytes have nothing to remove; rows with a null
-doc_id come back whole and match nothing; rows that repeat a doc_id and its text count as one document;
-an empty table gives no rows; other columns are ignored. Very long texts go by in chunks.
+doc_id come back whole and match nothing; rows that repeat a doc_id and its text count as one document; of
+different texts with one doc_id that with the least hash is its document, and the others come back whole
+and match nothing; an empty table gives no rows; other columns are ignored. Very long texts go by in chunks.
 """
 
 from __future__ import annotations
@@ -23,14 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash
 
 LENGTH, GRAM = 100, 40
-#: Windows for a bucket and shards in it; different windows of one anchor beyond which it is hot.
-BUCKET, SHARDS, HOT = 2_000, 4, 20_000
+#: Windows for a bucket on average and shards in it; different windows of one anchor that go to one bucket at most.
+BUCKET, SHARDS, VARIANTS = 2_000, 4, 2_000
 #: Document ids up to this number are broadcast to pick the texts that are needed; more are joined.
 BROADCAST_IDS = 2_000_000
 _SPAN = LENGTH - GRAM + 1
@@ -92,8 +98,35 @@ def _anchors_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pos, gram[chosen], prefix
 
 
-def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor hash, window hash, window start, window end) of a document, chunk by chunk."""
+def _enough(pos: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of candidates those to take, and whether each lies within _SPAN of an equal one.
+
+    Among equal ones at most _SPAN - 1 apart the first, the last and so many between them are taken that two in a row
+    are never more than _SPAN apart: a string that holds one of them then holds one that is taken.
+    """
+    order = np.lexsort((pos, gram))
+    p, g = pos[order], gram[order]
+    joined = (g[1:] == g[:-1]) & (np.diff(p) < _SPAN)
+    group = np.concatenate(([0], np.cumsum(~joined)))
+    size = np.bincount(group)
+    take = np.ones(len(p), bool)
+    ends = np.cumsum(size)
+    for i in np.flatnonzero(size > 2):
+        a, b = ends[i] - size[i], ends[i]
+        take[a:b] = False
+        at = a
+        while at < b:
+            take[at] = True
+            at = max(at + 1, a + int(np.searchsorted(p[a:b], p[at] + _SPAN, side="right")) - 1)
+        take[b - 1] = True
+    near = np.concatenate((joined, [False])) | np.concatenate(([False], joined))
+    order, near = order[take], near[take]
+    back = np.argsort(order)
+    return order[back], near[back]
+
+
+def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor hash, window hash, window start, place of the anchor in it, its size, whether the anchor repeats in it) of a document, chunk by chunk."""
     n = len(data)
     if n < LENGTH:
         return
@@ -105,8 +138,12 @@ def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
         pos, gram, prefix = _anchors_of(whole[lo:hi])
         own = (pos + lo >= at) & (pos + lo < at + _CHUNK)
         pos, gram = pos[own], gram[own]
+        if not len(pos):
+            continue
+        taken, near = _enough(pos, gram)
+        pos, gram = pos[taken], gram[taken]
         start, end = np.maximum(pos - (LENGTH - GRAM), 0), np.minimum(pos + LENGTH, hi - lo)
-        yield gram.view(np.int64), _hashes(prefix, start, end).view(np.int64), start + lo, end + lo
+        yield gram.view(np.int64), _hashes(prefix, start, end).view(np.int64), start + lo, (pos - start).astype(np.int16), (end - start).astype(np.int16), near
 
 
 def _binary(col) -> list[bytes | None]:
@@ -117,13 +154,16 @@ def _merged(parts: list[tuple], names: list[str], types: list) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts]) if parts else [], t) for i, t in enumerate(types)], names)
 
 
+_WINDOWS = "anchor bigint, content bigint, doc_id bigint, start bigint, left smallint, size smallint, self boolean"
+
+
 def _window_rows(batches):
-    names, types = ["anchor", "content", "doc_id", "start", "end"], [pa.int64()] * 5
+    names, types = [x.split()[0] for x in _WINDOWS.split(", ")], [pa.int64()] * 4 + [pa.int16()] * 2 + [pa.bool_()]
     for b in batches:
         parts, held = [], 0
         for doc, data in zip(b.column(0).to_pylist(), _binary(b.column(1)), strict=True):
-            for gram, content, start, end in anchors(data or b""):
-                parts.append((gram, content, np.full(len(gram), doc, np.int64), start, end))
+            for gram, content, *rest in anchors(data or b""):
+                parts.append((gram, content, np.full(len(gram), doc, np.int64), *rest))
                 held += len(gram)
                 if held > 100_000:
                     yield _merged(parts, names, types)
@@ -142,7 +182,7 @@ def _batched_counts(batches):
     for b in batches:
         parts, held = [], 0
         for data in _binary(b.column(0)):
-            for gram, _, _, _ in anchors(data or b""):
+            for gram, *_ in anchors(data or b""):
                 parts.append(gram)
                 held += len(gram)
                 if held > 200_000:
@@ -299,38 +339,87 @@ def _merge_bucket(t: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64())})
 
 
-def _strings_of_hot(batches):
-    """Each string of LENGTH bytes of a window with 128 bits of hash."""
-    names, types = ["h1", "h2", "doc_id", "start"], [pa.int64()] * 4
-    for b in batches:
-        parts = []
-        for doc, start, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            x = np.frombuffer(data, np.uint8)
-            at = np.arange(len(x) - LENGTH + 1)
-            h = [_hashes(_prefix(x, i), at, at + LENGTH).view(np.int64) for i in (0, 1)]
-            parts.append((*h, np.full(len(at), doc, np.int64), at + start))
-        if parts:
-            yield _merged(parts, names, types)
+_CUTS = "bucket bigint, key bigint, doc_id bigint, start bigint, left smallint, bytes binary"
+_CUT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary())
+
+
+def _cut_rows(rows: list[tuple]):
+    for i in range(0, len(rows), 20_000):
+        cols = list(zip(*rows[i : i + 20_000], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CUT_TYPES, strict=True)], [x.split()[0] for x in _CUTS.split(", ")])
 
 
 def _cut(batches):
-    """The bytes of the windows that are asked for; those of one bucket that overlap come as one piece."""
-    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+    """The bytes of the windows that are asked for. Those of one bucket that overlap come as one piece; windows without a bucket stay as they are, with the anchor as key."""
     for b in batches:
         rows: list[tuple] = []
         for doc, data, wanted in zip(b.column(0).to_pylist(), _binary(b.column(1)), b.column(2).to_pylist(), strict=True):
             last = None
-            for hot, bucket, start, end in sorted((w["hot"], w["bucket"], w["start"], w["end"]) for w in wanted):
-                if last and last[:2] == [hot, bucket] and start <= last[3]:
-                    last[3] = max(end, last[3])
-                    continue
-                if last:
-                    rows.append((last[1], last[0], doc, last[2], data[last[2] : last[3]]))
-                last = [hot, bucket, start, end]
-            rows.append((last[1], last[0], doc, last[2], data[last[2] : last[3]]))
-        for i in range(0, len(rows), 20_000):
-            cols = list(zip(*rows[i : i + 20_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["bucket", "hot", "doc_id", "start", "bytes"])
+            for w in sorted(wanted, key=lambda w: (w["bucket"] is None, w["bucket"] or 0, w["start"], w["size"])):
+                start, end = w["start"], w["start"] + w["size"]
+                if w["bucket"] is None:
+                    rows.append((None, w["anchor"], doc, start, w["left"], data[start:end]))
+                elif last and last[0] == w["bucket"] and start <= last[2]:
+                    last[2] = max(end, last[2])
+                else:
+                    if last:
+                        rows.append((last[0], None, doc, last[1], None, data[last[1] : last[2]]))
+                    last = [w["bucket"], start, end]
+            if last:
+                rows.append((last[0], None, doc, last[1], None, data[last[1] : last[2]]))
+        yield from _cut_rows(rows)
+
+
+def _places(data: bytes, left: int) -> list[int]:
+    """All places of an anchor in its window, those passed over in a run too: equal strings then have one at the same distance."""
+    gram, out = data[left : left + GRAM], []
+    at = data.find(gram)
+    while at >= 0:
+        out.append(at)
+        at = data.find(gram, at + 1)
+    return out
+
+
+def _halves(lo: int, hi: int):
+    """The windows of strings that begin ``lo`` to ``hi`` bytes before their anchor, halved; the key is a hash of what a half's strings share."""
+    cuts = [(lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)] if lo < hi else [(lo, hi)]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for key, doc, start, left, data in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                for at in _places(data, left) if (lo, hi) == (0, _SPAN - 1) else (left,):
+                    for a, z in cuts:
+                        s, e = max(0, at - z), min(len(data), at - a + LENGTH)
+                        if e - s >= LENGTH:
+                            shared = hashlib.blake2b(b"%d %d " % (key, a) + data[at - a : at - z + LENGTH], digest_size=8).digest()
+                            rows.append((a, int.from_bytes(shared, "big", signed=True), doc, start + s, at - s, data[s:e]))
+            yield from _cut_rows(rows)
+
+    return run
+
+
+def _split(hot: DataFrame, buckets: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(pieces for buckets, removed intervals) of windows whose anchors have too many of them. The column bucket tells the halves apart until they have one."""
+    pieces, removed = [], []
+    spans = [(0, _SPAN - 1)]
+    while True:
+        halves = [hot.where(f"bucket <=> {lo}" if len(spans) > 1 else "true").mapInArrow(_halves(lo, hi), _CUTS) for lo, hi in spans]
+        level = halves[0]
+        for h in halves[1:]:
+            level = level.unionByName(h)
+        level = stash(level, "halves")
+        spans = [c for lo, hi in spans for c in ([(lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)] if lo < hi else [(lo, hi)])]
+        first = stash(level.groupBy("bucket", "key", "bytes").agg(F.min(F.struct("doc_id", "start", "left")).alias("f"), F.count("*").alias("n")), "halves")
+        again = level.join(first.where("n > 1").select("key", "bytes", F.col("f.doc_id").alias("d"), F.col("f.start").alias("s")), ["key", "bytes"])
+        removed.append(again.where("doc_id <> d OR start <> s").select("doc_id", "start", (F.col("start") + F.octet_length("bytes")).alias("end")))
+        kinds = first.groupBy("key").agg(F.count("*").alias("variants"))
+        single = max(hi - lo for lo, hi in spans) == 0
+        kept = first.join(kinds, "key").select("bucket", "key", "f.*", "bytes", "variants")
+        pieces.append(kept.where(f"variants <= {VARIANTS}").select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "doc_id", "start", "bytes"))
+        hot = stash(kept.where(f"variants > {VARIANTS}").drop("variants"), "hot")
+        if single or not hot.take(1):
+            return pieces, removed
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -338,29 +427,47 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
-def removed_intervals(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end): byte intervals, overlapping, whose union is to be removed."""
-    src = docs.where("doc_id IS NOT NULL AND octet_length(text) >= %d" % LENGTH).select(F.col("doc_id").cast("long"), "text")
+def text_key() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+def removed_intervals(src: DataFrame) -> DataFrame:
+    """(doc_id, start, end): byte intervals, overlapping, whose union is to be removed from different texts (doc_id, text), each with an id of its own."""
     repeated = src.select("text").mapInArrow(_batched_counts, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     repeated = stash(repeated, "repeated")  # read plainly, so that a hot anchor's windows can be split in the join
-    windows = src.mapInArrow(_window_rows, "anchor bigint, content bigint, doc_id bigint, start bigint, end bigint")
-    windows = stash(windows.join(repeated, "anchor", "left_semi"), "windows")
-    first = windows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start", "end")).alias("first"), F.count("*").alias("n"))
+    windows = stash(src.mapInArrow(_window_rows, _WINDOWS).join(repeated, "anchor", "left_semi"), "windows")
+    first = windows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start", "left", "size", "self")).alias("first"), F.count("*").alias("n"))
     first = stash(first, "first")
-    copies = windows.join(first.where("n > 1").select("anchor", "content", F.col("first.doc_id").alias("d"), F.col("first.start").alias("s")), ["anchor", "content"])
-    copies = copies.where("doc_id <> d OR start <> s").select("doc_id", "start", "end")
-    differing = first.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1").select("anchor", (F.col("variants") > HOT).alias("hot"))
-    wanted = stash(first.join(differing, "anchor").select("anchor", "hot", "first.*"), "wanted")
+    twice = first.where("n > 1").select("anchor", "content", F.col("first.doc_id").alias("d"), F.col("first.start").alias("s"))
+    copies = windows.join(twice, ["anchor", "content"]).where("doc_id <> d OR start <> s").select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"))
+    differing = first.groupBy("anchor").agg(F.count("*").alias("variants"), F.max("first.self").alias("self")).where("variants > 1 OR self").select("anchor", "variants")
+    wanted = stash(first.join(differing, "anchor").select("anchor", "variants", "first.*"), "wanted")
     buckets = max(1, -(-wanted.count() // BUCKET))
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")
-    wanted = stash(wanted.groupBy("doc_id").agg(F.collect_list(F.struct(bucket, "hot", "start", "end")).alias("wanted")), "wanted")  # anchors of one text
+    bucket = F.when(F.col("variants") <= VARIANTS, F.pmod(F.xxhash64("anchor"), F.lit(buckets))).alias("bucket")
+    wanted = stash(wanted.groupBy("doc_id").agg(F.collect_list(F.struct(bucket, "anchor", "start", "left", "size")).alias("wanted")), "wanted")  # anchors of one text
     once = with_ids(src, wanted.select("doc_id"), "left_semi").join(wanted, "doc_id")
-    cut = stash(once.select("doc_id", "text", "wanted").mapInArrow(_cut, "bucket bigint, hot boolean, doc_id bigint, start bigint, bytes binary"), "cut")
-    merged = cut.where("NOT hot").select("bucket", "doc_id", "start", "bytes").groupBy("bucket").applyInArrow(_merge_bucket, _REMOVED)
-    strings = stash(cut.where("hot").select("doc_id", "start", "bytes").mapInArrow(_strings_of_hot, "h1 bigint, h2 bigint, doc_id bigint, start bigint"), "strings")
-    least = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    hot = strings.join(least, ["h1", "h2"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
-    return stash(copies.unionByName(merged).unionByName(hot), "removed")
+    cut = stash(once.select("doc_id", "text", "wanted").mapInArrow(_cut, _CUTS), "cut")
+    out, pieces = [copies], [cut.where("bucket IS NOT NULL").select("bucket", "doc_id", "start", "bytes")]
+    hot = cut.where("bucket IS NULL")
+    if hot.take(1):
+        more, gone = _split(hot, buckets)
+        pieces, out = pieces + more, out + gone
+    whole = pieces[0]
+    for p in pieces[1:]:
+        whole = whole.unionByName(p)
+    out.append((stash(whole, "pieces") if len(pieces) > 1 else whole).groupBy("bucket").applyInArrow(_merge_bucket, _REMOVED))
+    removed = out[0]
+    for df in out[1:]:
+        removed = removed.unionByName(df)
+    return stash(removed, "removed")
+
+
+def united(intervals: DataFrame) -> DataFrame:
+    """(doc_id, start, end): the unions of overlapping or touching intervals."""
+    by = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = intervals.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("long"))
+    return new.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
 def _remove(batches):
@@ -389,12 +496,25 @@ def _remove(batches):
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) for every row of ``docs`` (doc_id, text)."""
-    removed = removed_intervals(docs)
-    spans = stash(removed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    src = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    long = rows.where("doc_id IS NOT NULL AND octet_length(text) >= %d" % LENGTH)
+    texts = stash(long.select("doc_id", text_key().alias("key"), F.octet_length("text").cast("long").alias("n")).groupBy("doc_id").agg(F.min(F.struct("key", "n")).alias("t")).select("doc_id", "t.*"), "texts")
+    owners = stash(texts.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("n").alias("n")), "owners")
+    copies = texts.select("doc_id", "key").join(owners, "key").where("doc_id <> owner").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
+    copies = stash(copies, "copies")
+    src = with_ids(long, copies.select("doc_id"), "left_anti")
+    clash = stash(long.select("doc_id", text_key().alias("key")).distinct().join(texts, ["doc_id", "key"], "left_anti").select("doc_id").distinct(), "clash")
+    if clash.take(1):
+        own = texts.select("doc_id", "key")
+        src = src.withColumn("key", text_key()).join(own, ["doc_id", "key"], "left_semi").drop("key")
+    removed = removed_intervals(src)
+    spans = united(removed).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = spans.unionByName(copies.select("doc_id", F.array(F.struct("start", "end")).alias("spans"))).join(texts.select("doc_id", "key"), "doc_id")
+    spans = stash(spans, "spans")
     ids = spans.select("doc_id")
-    touched = with_ids(src, ids, "left_semi").join(spans, "doc_id").select("doc_id", "text", "spans")
+    touched = with_ids(rows, ids, "left_semi").join(spans, "doc_id").select("doc_id", "text", F.when(text_key() == F.col("key"), F.col("spans")).alias("spans"))
     changed = touched.mapInArrow(_remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     data = F.col("text").cast("binary")
-    same = with_ids(src, ids, "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"), data.alias("kept"))
+    zero = F.lit(0).cast("long")
+    same = with_ids(rows, ids, "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"), data.alias("kept"))
     return changed.unionByName(same)

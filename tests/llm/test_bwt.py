@@ -58,9 +58,9 @@ def test_merge_gives_the_intervals(length):
         assert set(zip(*(x.tolist() for x in bwt_dedup.repeats(strings, docs, starts, length, shards)), strict=True)) == want
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_deduplicate(spark, monkeypatch, hot):
-    monkeypatch.setattr(bwt_dedup, "HOT", hot)
+@pytest.mark.parametrize("variants", [2_000, 2, 1])
+def test_deduplicate(spark, monkeypatch, variants):
+    monkeypatch.setattr(bwt_dedup, "VARIANTS", variants)
     monkeypatch.setattr(bwt_dedup, "BUCKET", 50)
     texts = corpus()
     want = brute({i: (t or "").encode() for i, t in enumerate(texts)})
@@ -78,10 +78,32 @@ def test_chunks_and_empty(spark, monkeypatch):
     monkeypatch.setattr(bwt_dedup, "_CHUNK", 500)
     texts = corpus(2)
     want = brute({i: (t or "").encode() for i, t in enumerate(texts)})
-    data = {i: (t or "").encode() for i, t in enumerate(texts)}
-    whole = {i: {(int(g), int(s)) for a in bwt_dedup.anchors(d) for g, s in zip(a[0], a[2], strict=True)} for i, d in data.items()}
-    monkeypatch.setattr(bwt_dedup, "_CHUNK", 1 << 21)
-    assert whole == {i: {(int(g), int(s)) for a in bwt_dedup.anchors(d) for g, s in zip(a[0], a[2], strict=True)} for i, d in data.items()}
     got = bwt_dedup.deduplicate(spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], DOCS)).collect()
     assert {r.doc_id: tuple(r)[1:5] for r in got} == want
     assert bwt_dedup.deduplicate(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_runs_and_periods(spark):
+    """A long run or a short period gives few windows, and the same result."""
+    rnd = random.Random(4)
+    noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    texts = ["x" * n for n in (100, 101, 130, 161, 400)] + [noise(50) + "ab" * 300 + noise(70), noise(90) + "0123456" * 60, "0123456" * 40, noise(30) + noise(61) * 8, ("z" * 150 + "y") * 5]
+    texts += [noise(20) + t + noise(9) for t in texts]
+    want = brute({i: t.encode() for i, t in enumerate(texts)})
+    got = bwt_dedup.deduplicate(spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], DOCS)).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in got} == want
+    assert sum(len(a[0]) for a in bwt_dedup.anchors(b"x" * 200_000)) < 200_000 / 50
+    one = bwt_dedup.deduplicate(spark.createDataFrame([(1, "x" * 200_000, "", "", "")], DOCS)).first()
+    assert (one.n_removed, one.n_spans) == (199_999, 1)
+
+
+def test_texts_that_share_an_id(spark):
+    texts = corpus(3)
+    rows = [(7, texts[10]), (7, texts[12]), (8, texts[10]), (9, texts[12]), (7, "ten bytes."), (None, texts[10])]
+    got = bwt_dedup.deduplicate(spark.createDataFrame([(i, t, "", "", "") for i, t in rows], DOCS)).collect()
+    least = min((hashlib.md5(t.encode()).digest(), t) for t in (texts[10], texts[12]))[1]
+    want = brute({7: least.encode(), 8: texts[10].encode(), 9: texts[12].encode()})
+    assert len(got) == len(rows)
+    for r in got:
+        whole = r.doc_id is None or r.doc_id == 7 and r.kept.decode() != least
+        assert r.n_removed == 0 if whole else tuple(r)[1:5] == want[r.doc_id]

@@ -128,6 +128,12 @@ def test_leaks(spark):
     want = {(d, i): s for d, t in docs for i, x, _ in items if i is not None and (s := best_similarity(t, x)) >= 0.8}
     assert set(got) == set(want)
     assert all(abs(got[p] - want[p]) < 1e-5 for p in want)
+    half = [f"h{i}" for i in range(60)]  # the halves of an item swapped: no shingle stands where the item would begin
+    one = spark.createDataFrame([(1, " ".join(half), "")], bench.schema)
+    odd = [(1, f"{prose(40)} {' '.join(half[30:] + half[:30])} {prose(40)}"), (2, prose(90)), (2, " ".join(half)), (None, " ".join(half)), (3, " ".join(half[:52]))]
+    odd = spark.createDataFrame([(i, t, "", "", 1, "", "", "") for i, t in odd], DOCS)
+    assert sorted((r.doc_id, r.similarity) for r in benchmark_leaks.find_leaks(odd, one).collect()) == [(1, round(52 / 60, 6)), (2, 1.0), (3, round(48 / 56, 6))]
+    assert sorted(r.doc_id for r in benchmark_leaks.drop_leaks(odd, one).collect()) == [2]
     for empty in ((rows, []), ([], items)):
         assert benchmark_leaks.find_leaks(spark.createDataFrame(empty[0], DOCS), spark.createDataFrame(empty[1], bench.schema)).count() == 0
     kept = {r.doc_id for r in benchmark_leaks.drop_leaks(spark.createDataFrame(rows, DOCS), bench).collect()}
