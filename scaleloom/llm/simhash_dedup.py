@@ -1,14 +1,19 @@
 """SimHash near-duplicates by an inverted index of positional bytes with count filtering.
 
 Two fingerprints of 64 bits that differ in at most two bits share at least six of their eight bytes
-in place. The index therefore has a posting for each choice of six byte positions (28 of them): a
-pair meets in a posting list exactly if it reaches the guaranteed count. The members of one list
+in place. A posting list for each position and byte would hold a 256th of all fingerprints, and tallying
+its pairs would grow with the square of the table. The lists are therefore intersected six at a time before
+pairs are made: a posting for each choice of six positions (28 of them) and their bytes. A pair that shares
+c positional bytes meets in C(c, 6) of these lists: in none below six, in 1, 7 and 28 at six, seven and
+eight. So the pairs that meet are exactly those whose tally over the single-byte lists reaches the
+guaranteed minimum of six, and in how many they meet tells the tally. The members of one list
 differ in 16 bits only, so a list never holds more than 65,536 distinct fingerprints, however large
-the table; the tally of shared bytes and the distance are then verified.
+the table. Lists up to DIRECT are joined with themselves, longer ones with the 136 changes of two bits that
+stay in the list, which is exact at any length. The tally and the distance are verified on each pair.
 
 Edge cases: null or wordless texts have fingerprint zero, linked like any other; equal fingerprints
 are one node, so thousands of copies cost one row; a null doc_id never names a component; repeated
-rows each get their row; an empty table gives no rows; other columns are ignored.
+rows each get their row, and rows that share a doc_id but not the text each their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, stash
@@ -30,12 +35,12 @@ DIRECT = 64
 _CHUNK = 1 << 15
 
 #: Similarity of texts: words of a shingle and the least Jaccard similarity; bytes of the wide fingerprint; positions of
-#: a key, keys, and least bytes shared; members of a list that are compared at once; rows of a bucket; lists that are
-#: broadcast at most. Two texts of similarity s share a byte in place with probability s + (1 - s) / 256, whatever kind
+#: a key, keys, and least bytes shared; members of a list that are compared at once and blocks that a longer list is cut
+#: into at most, so that a member stands in so many cells at most; rows of a bucket; lists that are broadcast at most. Two texts of similarity s share a byte in place with probability s + (1 - s) / 256, whatever kind
 #: of edit parts them, so the chance to miss a pair of 0.8 follows: about 1e-7 to share no key, 2e-8 to share too few bytes.
 VERIFY, SIMILARITY = 5, 0.8
 WIDE, KEY, KEYS, LEAST_SHARED = 64, 4, 48, 32
-BLOCK, BUCKET, BROADCAST_LISTS = 1000, 5000, 1_000_000
+BLOCK, BLOCKS, BUCKET, BROADCAST_LISTS = 1000, 8, 5000, 1_000_000
 _SPREAD = np.random.default_rng(5).integers(0, 1 << 63, (WIDE, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Every WIDE / KEY keys use each position once.
 _POSITIONS = np.concatenate([np.random.default_rng(i).permutation(WIDE).reshape(-1, KEY) for i in range(KEYS * KEY // WIDE)])
@@ -62,13 +67,18 @@ def fingerprint(data: bytes | None) -> int:
 def _fingerprints(batches):
     for b in batches:
         fps = np.array([fingerprint(t) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], ["doc_id", "row_text", "fp"])
+
+
+def row_text() -> Column:
+    """Tells the texts of rows with one doc_id apart."""
+    return F.xxhash64("text").alias("row_text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a signed long; a narrow pass."""
+    """doc_id, row_text and the fingerprint as a signed long; a narrow pass."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", "text", row_text()).mapInArrow(_fingerprints, f"doc_id {kind}, row_text bigint, fp bigint")
 
 
 def _signed(x: int) -> int:
@@ -100,12 +110,12 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (least doc_id reachable over links, itself included) for every row of ``docs``."""
+    """doc_id, row_text, fp and component_id (least doc_id reachable over links, itself included) for every row of ``docs``."""
     fps = stash(fingerprints(docs), "fp")
     nodes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     comp = connected_components(links(nodes.where("node IS NOT NULL")))
     named = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp", "left").select("doc_id", "row_text", "fp", "component_id")
 
 
 # --- similarity of texts -----------------------------------------------------------------------
@@ -143,7 +153,7 @@ def _sequences(batches):
             whole.append(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64))
             fps.append(wide_fingerprint(words) if len(words) >= VERIFY else None)
         whole = np.array(whole, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(fps, pa.binary())], ["doc_id", "h1", "h2", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(fps, pa.binary())], ["doc_id", "row_text", "h1", "h2", "fp"])
 
 
 def _bytes(column) -> np.ndarray:
@@ -227,22 +237,22 @@ def _shingle_sets(batches):
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id for every row of ``docs``: components of texts whose sets of VERIFY-word shingles have a Jaccard similarity of SIMILARITY or more.
+    """doc_id, row_text and component_id for every row of ``docs``: components of texts whose sets of VERIFY-word shingles have a Jaccard similarity of SIMILARITY or more.
 
     Two differing bits are far too few for that similarity, and any SimHash of it shares too few whole
     bytes where a block of words is added, cut or replaced. The positional bytes are therefore those of
     least hashes of the same shingles that are verified. The index has a posting for each of KEYS choices
     of KEY positions; members of a list tally their shared bytes, and pairs with LEAST_SHARED are verified on their texts. No
-    list is cut: one that is longer than BLOCK is compared block by block, its pairs never being rows.
-    Equal sequences of words are one node. A null doc_id never names a component.
+    list is cut: one that is longer than BLOCK is compared block by block, its pairs never being rows; with at
+    most BLOCKS blocks the rows grow with the list, only the comparisons inside tasks with its square. Equal sequences of words are one node. A null doc_id never names a component.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seq = stash(docs.select("doc_id", "text").mapInArrow(_sequences, f"doc_id {kind}, h1 bigint, h2 bigint, fp binary"), "sequences")
+    seq = stash(docs.select("doc_id", "text", row_text()).mapInArrow(_sequences, f"doc_id {kind}, row_text bigint, h1 bigint, h2 bigint, fp binary"), "sequences")
     nodes = stash(seq.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")), "nodes")
     near = nodes.where("node IS NOT NULL AND fp IS NOT NULL").select("node", "fp")
     postings = near.mapInArrow(_postings, f"key bigint, node {kind}")
     lists = stash(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
-    members = postings.join(F.broadcast(lists) if lists.count() <= BROADCAST_LISTS else lists, "key").withColumn("n", F.ceil(F.col("n") / BLOCK))
+    members = postings.join(F.broadcast(lists) if lists.count() <= BROADCAST_LISTS else lists, "key").withColumn("n", F.least(F.ceil(F.col("n") / BLOCK), F.lit(BLOCKS)))
     members = members.withColumn("side", F.pmod(F.xxhash64("node"), F.col("n"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     cells = members.select("key", "node", "side", F.least("side", "o").alias("own"), F.greatest("side", "o").alias("other")).join(near, "node")
     cells = stash(cells, "cells")
@@ -250,19 +260,22 @@ def similar(docs: DataFrame) -> DataFrame:
     columns = ["key", "node", "side", "own", "other", "fp"]
     bucket = F.pmod(F.xxhash64("key", "own", "other"), F.lit(max(1, -(-cells.count() // BUCKET)))).alias("bucket")
     tallied = stash(cells.select(*columns, bucket).groupBy("bucket").applyInArrow(lambda t: _tally(t.select(columns)), fields), "tallied")
-    wanted = tallied.select(F.col("node").alias("doc_id")).distinct()
-    sets = docs.where("text IS NOT NULL").select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_shingle_sets, f"node {kind}, shingles array<bigint>")
+    wanted = nodes.join(tallied.select("node").distinct(), "node", "left_semi").join(seq.select("h1", "h2", F.col("doc_id").alias("node"), "row_text"), ["h1", "h2", "node"])
+    wanted = stash(wanted.select(F.col("node").alias("doc_id"), "row_text").distinct(), "wanted")
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text", row_text()).join(wanted, ["doc_id", "row_text"], "left_semi").dropDuplicates(["doc_id", "row_text"])
+    sets = texts.select("doc_id", "text").mapInArrow(_shingle_sets, f"node {kind}, shingles array<bigint>")
     asked = tallied.join(sets, "node").select(*columns, "shingles", bucket)
     links = asked.groupBy("bucket").applyInArrow(_verify, f"u {kind}, v {kind}")
     comp = connected_components(links)
     named = nodes.join(comp, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
-    return seq.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", "component_id")
+    return seq.select("doc_id", "row_text", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", "row_text", "component_id")
 
 
 def _least_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Rows with a null doc_id stay. Of rows that repeat a doc_id with the same text all stay or all go."""
-    gone = grouped.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Rows with a null doc_id stay. Of rows that repeat a doc_id with the same text all stay or all go; with another text each row goes by its own."""
+    gone = grouped.where("doc_id <> component_id").select("doc_id", "row_text").distinct().alias("gone_texts")
+    same = (docs["doc_id"] == F.col("gone_texts.doc_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("gone_texts.row_text"))
+    return docs.join(gone, same, "left_anti")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

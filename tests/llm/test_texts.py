@@ -1,6 +1,7 @@
 """Personal data, fingerprints, page text and language against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -47,6 +48,14 @@ def test_pii_context_and_checksums(spark):
     kinds = lambda t: [x[2] for x in pii.spans_of(t)]
     assert kinds("my IBAN is DE89 3704 0044 0532 0130 00 thanks") == ["iban"] and kinds("my IBAN is DE89 3704 0044 0532 0130 01") == []
     assert kinds("call me: (017) 555-7713") == ["local_phone"] and kinds("order (017) 555-7713") == []
+    assert kinds("IBAN ES91 2100 0418 4502 0005 1332 EUR due") == kinds("IBAN ES91 2100 0418 4502 0005 1332, due") == ["iban"] and kinds("ES91 2100 0418 4502 0005 1332 9") == ["iban"] and kinds("ES91 2100 0418 4502 0005 13329") == []
+    for secret in ("AKIA" + "Q7" * 8, "ghp_" + "a1" * 18, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.s5x_Zq", "-----BEGIN RSA PRIVATE KEY-----\nab\n-----END RSA PRIVATE KEY-----"):
+        assert [(s, k, e) for s, _, k, e, _ in pii.spans_of(f"a {secret} b")] == [(2, "secret", 2 + len(secret))]
+    assert pii.masked('token = "04dbebab91ab85687d33eeaaf9ac" x') == 'token = "<SECRET>" x' and kinds("password: hunter2!") == ["secret"] and kinds("password: please, the token: whatever key: value") == []
+    score = lambda t: pii.spans_of(t)[0][4]
+    assert score("visa card 4111 1111 1111 1111") > score("x 4111 1111 1111 1111") > score("order 4111 1111 1111 1111") and score("call +1 (017) 555-7713") > score("version +1 (017) 555-7713")
+    for long in ("-----BEGIN PRIVATE KEY-----" * 20_000, "token=" * 50_000, "AB12 " * 50_000, "password=" + "a" * 500_000):
+        pii.spans_of(long)
     assert kinds("SSN 123-45-6789") == ["ssn"] and kinds("serial 123-45-6789") == []
     docs = spark.createDataFrame([(1, "mail a.b@c.de now", "en", "", "", ""), (2, None, None, None, None, None)], DOCS).selectExpr("*", "length(text) n_chars")
     assert [r.text for r in pii.mask_pii(docs).orderBy("doc_id").collect()] == ["mail <EMAIL> now", None]
@@ -153,11 +162,38 @@ def test_html_copies_do_not_erase_the_article(spark):
     assert out == want
 
 
+def slow_language(model, text):
+    """Family, then language: profiles by counting, votes by loops."""
+    data = re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]", b" ", text.lower().encode())
+    x = [0.0] * 4096
+    for i in range(len(data) - 2):
+        x[(data[i] | data[i + 1] << 8 | data[i + 2] << 16) * 2654435761 % (1 << 32) >> 20] += 1
+    total = sum(x)
+    x = [math.sqrt(v / total) for v in x]
+
+    def vote(m):
+        if len(m.classes) == 1:
+            return m.classes[0], 1.0
+        votes, sums, least = ([f] * len(m.classes) for f in (0, 0.0, math.inf))
+        for (i, j), w in zip(m.pairs, m.weights.tolist(), strict=True):
+            margin = sum(a * b for a, b in zip(x, w, strict=False)) + w[-1]
+            votes[i if margin > 0 else j] += 1
+            for c, own in ((i, margin), (j, -margin)):
+                sums[c] += own
+                least[c] = min(least[c], own)
+        best = max(range(len(votes)), key=lambda c: votes[c] + math.tanh(sums[c] / 100) / 4)
+        return m.classes[best], 1 / (1 + math.exp(-4 * least[best]))
+
+    family, sure = vote(model.top)
+    lang, own = vote(model.within[family])
+    return lang, round(sure * own, 4)
+
+
 def test_language(spark):
     rnd = random.Random(1)
     vocab = {"en": "the of and thing ing that was", "de": "der die und nicht schön über", "fr": "le la et été que être", "es": "el los y que más año"}
     rows = [(i, " ".join(rnd.choice(vocab[k].split()) for _ in range(30)), k, "", "", "") for i, k in enumerate(list(vocab) * 100)]
-    rows += [(9000, None, "en", "", "", ""), (9001, "123 !?", "de", "", "", ""), (9002, "los años y el", None, "", "", ""), (None, "the thing", None, "", "", "")]
+    rows += [(9000, None, "en", "", "", ""), (9001, "123 ½ ² ① !?", "de", "", "", ""), (9002, "los años y el", None, "", "", ""), (None, "the thing", None, "", "", "")]
     out = language_id.identify(spark.createDataFrame(rows, DOCS)).collect()
     assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
     by = {r.doc_id: r for r in out}
@@ -167,6 +203,9 @@ def test_language(spark):
     kept = language_id.drop_unknown(spark.createDataFrame(rows, DOCS))
     assert kept.count() == len(rows) - 2 and kept.where("doc_id = 9002").first().lang == "es"
     none = language_id.identify(spark.createDataFrame([(1, "abc", None, "", "", "")], DOCS)).collect()
+    model = language_id.train(spark.createDataFrame(rows, DOCS), ~language_id.held_out())
+    for r in out[:60]:
+        assert (r.lang_pred, round(r.score, 4)) == slow_language(model, rows[r.doc_id][1])
     assert none[0].lang_pred == "und" and language_id.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -203,6 +242,9 @@ def test_similar_texts(spark, monkeypatch):
     rows = [(i, t, "clash", "clash", 0.5) for i, t in texts.items()]
     rows += [rows[0], (None, texts[20], "", "", 0.0), (None, "nothing like it", "", "", 0.0)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, node string, fp string, key double")
+    clash = spark.createDataFrame([(1, texts[0]), (2, texts[0]), (2, texts[40]), (3, texts[40])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text == texts[0]) for r in simhash_dedup.keep_one_similar(clash).collect()) == [(1, True), (2, False)]
+    assert sorted((r.doc_id, r.text == texts[0]) for r in simhash_dedup.keep_one(clash).collect()) == [(1, True), (2, False)]
     got = {(r.doc_id, r.component_id) for r in simhash_dedup.similar(frame).collect()}
     comp = {d: c for d, c in got if d is not None}
     assert {c for d, c in got if d is None} == {20, None}
