@@ -51,25 +51,66 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
+def _numbers_decoded(href: Column, digits: str, head: str, value) -> Column:
+    """``head`` and digits and a semicolon as the character of that number, if it is one of ASCII."""
+
+    def one(text: Column, n: Column) -> Column:
+        return F.when(value(n) < 128, F.replace(F.replace(text, F.concat(F.lit(head), n, F.lit(";")), F.char(value(n))), F.concat(F.lit(head.upper()), n, F.lit(";")), F.char(value(n)))).otherwise(text)
+
+    return F.when(href.contains("&#"), F.aggregate(F.array_distinct(F.regexp_extract_all(href, F.lit(f"(?i){head}({digits});"), 1)), href, one)).otherwise(href)
+
+
+def decoded(href: Column) -> Column:
+    """Character references that a url may hold: numbers of ASCII, and the five of markup."""
+    href = _numbers_decoded(href, "[0-9]{1,7}", "&#", lambda n: n.cast("int"))
+    href = _numbers_decoded(href, "[0-9a-f]{1,6}", "&#x", lambda n: F.conv(n, 16, 10).cast("int"))
+    for name, char in (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        href = F.replace(href, F.lit(name), F.lit(char))
+    return href
+
+
+def _without_dots(path: Column) -> Column:
+    """``.`` and ``..`` segments of an absolute path resolved."""
+    parts = F.split(path, "/", -1)
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.lit(1), F.size(acc) - 1))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    done = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    done = F.when(path.rlike(r"/\.\.?$") & ~done.endswith("/"), F.concat(done, F.lit("/"))).otherwise(done)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), done).otherwise(path)
+
+
 def resolve(href: Column, url: Column) -> Column:
     """An absolute form of ``href`` as found on the page ``url``."""
-    base = F.concat(F.lit("x://"), host_of(url))
-    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
+    href = F.btrim(href)
+    base, here = F.concat(F.lit("x://"), host_of(url)), F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    folder = F.regexp_replace(here, r"[^/]*$", "")
+    path, rest = F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", 2)
+    whole = F.when(href.startswith("//"), F.concat(F.lit("x:"), href)).otherwise(href)
+    after = F.regexp_extract(whole, r"(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1)
     return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
-        .when(href.startswith("//"), F.concat(F.lit("x:"), href))
-        .when(href.startswith("/"), F.concat(base, href))
-        .otherwise(F.concat(base, F.when(folder == "", F.lit("/")).otherwise(folder), href))
+        F.when(whole.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.concat(F.lit("x://"), host_of(whole), _without_dots(path_of(whole)), after))
+        .when(href.startswith("/"), F.concat(base, _without_dots(path), rest))
+        .when(path == "", F.when(rest.startswith("?"), F.concat(base, here, rest)).otherwise(url))
+        .otherwise(F.concat(base, _without_dots(F.concat(folder, path)), rest))
     )
 
 
+_VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return F.concat(*[F.regexp_extract(tag, rf"""(?i)[\s"']{name}{_VALUE}""", i) for i in (1, 2, 3)])
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(u, v): node of a page and node of its canonical link or its meta refresh target."""
-    link = F.regexp_extract("html", r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract("html", r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)""", 1)
+    """(u, v): node of a page and nodes of its canonical links and its meta refresh targets."""
     lower = F.lower("html")
-    found = pages.where(F.contains(lower, F.lit("canonical")) | F.contains(lower, F.lit("refresh"))).select("url", F.explode(F.array(link, refresh)).alias("href"))
-    return found.where("href <> '' AND url IS NOT NULL").select(node_of(F.col("url")).alias("u"), node_of(resolve(F.col("href"), F.col("url"))).alias("v")).where("u <> v").distinct()
+    found = pages.where("url IS NOT NULL").where(F.contains(lower, F.lit("canonical")) | F.contains(lower, F.lit("refresh")))
+    tags = F.regexp_extract_all("html", F.lit(r"(?i)<(?:link|meta)\s[^>]*>"), 0)
+    found = found.select("url", F.explode(tags).alias("tag"))
+    link = F.when(_attribute(F.col("tag"), "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), _attribute(F.col("tag"), "href"))
+    refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(_attribute(F.col("tag"), "content"), r"""(?i)\burl\s*=\s*["']?([^"']*)""", 1))
+    found = found.select("url", decoded(F.coalesce(link, refresh)).alias("href")).where("btrim(href) <> ''")
+    return found.select(node_of(F.col("url")).alias("u"), node_of(resolve(F.col("href"), F.col("url"))).alias("v")).where("u <> v").distinct()
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:

@@ -1,5 +1,7 @@
 """Url filter and quality rules against plain Python."""
 
+import math
+import random
 import re
 from collections import Counter
 
@@ -78,6 +80,65 @@ def test_aliases(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_links_are_decoded_and_resolved(spark):
+    page = "http://a.com/x/y/p.html?q=1"
+    hrefs = ["http://b.com/p?a=1&amp;b=2", "?page=2", "../z", "./n", "m/../k?s#f", "&#47;root&#x2F;r", "../../../up", "//C.com/d/./e/..", "/q/", "#top", " rel ", "https&#58;//d.com/&#8364;"]
+    tags = ['<LINK rel="alternate canonical" href="%s"/>', "<link href='%s' rel='canonical'>", '<meta content="5; URL=%s" http-equiv=Refresh>']
+    rows = [(i, page, "<html>" + tags[i % 3] % h + '<link rel=stylesheet href="/s">', "") for i, h in enumerate(hrefs)] + [(99, page, "<link rel=canonical href=/one><link rel=canonical href='/two'>", "")]
+    got = {r.v for r in url_filter.page_edges(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {"b.com/p?a=1&b=2", "a.com/x/y/p.html?page=2", "a.com/x/z", "a.com/x/y/n", "a.com/x/y/k?s", "a.com/root/r", "a.com/up", "c.com/d/", "a.com/q/", "a.com/x/y/rel", "d.com/&#8364;".split("#")[0], "a.com/one", "a.com/two"}
+
+
+def test_decisions_brute_force(spark):
+    rnd = random.Random(6)
+    hosts = ["a.com", "b.net", "example.net", "c.org", "x.example.com"]
+    urls = [f"http://{rnd.choice(hosts)}/{rnd.choice(['en', 'de', 'fr'])}/{i}" for i in range(150)]
+    links = {i: rnd.sample(range(150), rnd.choice([0, 0, 1, 2])) for i in range(150)}
+    rows = [(i, u, "".join(f'<link rel="canonical" href="{urls[j]}">' for j in links[i]), "") for i, u in enumerate(urls)]
+    group = list(range(150))
+    for i, js in links.items():
+        for j in js:
+            group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    own = [judge(u, url_filter.RULES)[3] for u in urls]
+    among = {g: {own[i] for i in range(150) if group[i] == g} for g in group}
+    want = {i: own[i] or ("allow" if "allow" in among[group[i]] else "block" if "block" in among[group[i]] else "allow") for i in range(150)}
+    assert {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, PAGES)).collect()} == want
+
+
+def slow_thresholds(values, slack, low=False):
+    """Quartiles of the logarithmic sketch, one value at a time."""
+    buckets = sorted(-100_000 if v <= 0 else math.ceil(round(math.log(v) / math.log(quality_rules.GAMMA), 6)) for v in values)
+    at = lambda q: buckets[max(0, math.ceil(q * len(buckets) - 1e-9) - 1)]
+    q1, q3 = (0.0 if b == -100_000 else quality_rules.GAMMA**b for b in (at(0.25), at(0.75)))
+    reach = quality_rules.REACH * (q3 - q1) + slack
+    return q1 - reach if low else q3 + reach
+
+
+def test_thresholds_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "LEAST_ROWS", 40)
+    rnd = random.Random(9)
+    docs = []
+    for i in range(400):
+        lang, source = rnd.choice([("en", "a"), ("en", "b"), ("de", "a"), ("fr", "q")] if i % 40 else [("xx", "q")])
+        words = [f"w{rnd.randrange(60)}" + rnd.choice(["", "", "!", "#", "##$", "x" * rnd.randrange(12)]) for _ in range(rnd.randrange(50, 120))]
+        words += [rnd.choice(["!" * 60, "#" * 90, "y" * 900])] * (3 if i % 23 == 5 else 0)
+        docs.append((i, " ".join(words), lang, source, "", ""))
+    metrics, failed = {}, {}
+    for i, t, *_ in docs:
+        n, chars, symbols, dup, repeats, failed[i] = counts(t)
+        metrics[i] = {"symbols": symbols / chars, "dup_lines": dup / 1, "repeats": repeats / n, "bangs": t.count("!") / n, "word_length": chars / n}
+    sound = [d for d in docs if not failed[d[0]]]
+    want = {}
+    for i, _, lang, source, *_ in docs:
+        near = [d for d in sound if d[2:4] == (lang, source)]
+        mid = [d for d in sound if d[2] == lang]
+        of = [d[0] for d in (near if len(near) >= 40 else mid if len(mid) >= 40 else sound)]
+        limit = lambda m, low=False: slow_thresholds([metrics[x][m] for x in of], quality_rules.SLACK[m], low)  # noqa: E731, B023
+        want[i] = not failed[i] and all(metrics[i][m] <= limit(m) for m in quality_rules.SLACK) and metrics[i]["word_length"] >= limit("word_length", True)
+    assert {r.doc_id: r.kept for r in quality_rules.apply_rules(spark.createDataFrame(docs, DOCS)).collect()} == want
+    assert len(set(want.values())) == 2
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 300), (7, 7), (None, 3)] + [(1000, 1000 + i) for i in range(1, 40)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(chain, "u long, v long")).collect()))
