@@ -12,11 +12,12 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .binning import records_to_signals
-from .information import DAY, entropy, folded_day, mutual_information, scalemap, walk_scales
+from .information import DAY, entropy, folded_day, mutual_information, scales_of_mass, scalemap
 from .segments import discover_segments, gaps, make_segments, split_by_gap
 
 
@@ -211,12 +212,13 @@ def entity_scores(profile: DataFrame, entity: str, total_events: int | Column, t
     The parts: volume against the channel and against the entity, entropy against the channel (z, capped at
     five), rarity of the channel and share of all activity; their weighted sum goes through a sigmoid.
     """
-    per_c, per_e = Window.partitionBy("channel"), Window.partitionBy(entity)
-    one = F.lit(1.0)
-    spread = lambda c, w: F.greatest(F.when(F.count("*").over(w) > 1, F.stddev_pop(c).over(w)).otherwise(one), F.lit(0.01))
-    df = profile.withColumns({
-        "channel_z": (F.col("events") - F.avg("events").over(per_c)) / spread("events", per_c), "identity_z": (F.col("events") - F.avg("events").over(per_e)) / spread("events", per_e),
-        "entropy_z": F.abs(F.col("entropy") - F.avg("entropy").over(per_c)) / spread("entropy", per_c), "_users": F.count("*").over(per_c),
+    spread = lambda c: F.greatest(F.when(F.count("*") > 1, F.stddev_pop(c)).otherwise(F.lit(1.0)), F.lit(0.01))
+    of_channel = profile.groupBy("channel").agg(F.avg("events").alias("_ce"), spread("events").alias("_cs"), F.avg("entropy").alias("_he"), spread("entropy").alias("_hs"), F.count("*").alias("_users"))
+    of_entity = profile.groupBy(entity).agg(F.avg("events").alias("_ee"), spread("events").alias("_es"))
+    df = profile.join(of_channel.withColumnRenamed("channel", "_c"), F.col("channel").eqNullSafe(F.col("_c"))).join(of_entity.withColumnRenamed(entity, "_e"), F.col(entity).eqNullSafe(F.col("_e")))
+    df = df.withColumns({
+        "channel_z": (F.col("events") - F.col("_ce")) / F.col("_cs"), "identity_z": (F.col("events") - F.col("_ee")) / F.col("_es"),
+        "entropy_z": F.abs(F.col("entropy") - F.col("_he")) / F.col("_hs"),
     })
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
     df = df.withColumns({"rarity": 1 - F.col("_users") / F.greatest(as_col(total_entities), F.lit(1)), "share": F.col("events") / F.greatest(as_col(total_events), F.lit(1))})
@@ -225,23 +227,57 @@ def entity_scores(profile: DataFrame, entity: str, total_events: int | Column, t
     return df.select(entity, "channel", F.round(_sigmoid(raw, 0.4), 4).alias("score"), "events", r("share", 4), r("channel_z", 2), r("identity_z", 2), r("entropy_z", 2), r("rarity", 4))
 
 
+#: Entities of a block of the comparison of twins, and blocks at most: an entity's vector goes to so many tasks.
+TWIN_BLOCK, TWIN_BLOCKS = 1024, 64
+
+
 def behavioural_twins(profile: DataFrame, entity: str, least_common: int = 3, similarity: float = 0.95) -> DataFrame:
     """entity_a, entity_b, n_common, similarity: cosine of the event counts over the channels that two entities share.
 
-    Pairs of entities are asked for, so the result grows with their square in the worst case; the vectors of
-    an entity are gathered (one count for each channel) and pairs meet on one channel each, their least
-    common one, so no pair is formed more than once.
+    All pairs are asked for. Entities are dealt over blocks; a task compares two blocks by matrix products
+    (products, squares and common channels), so no pair is a row before it is a twin, and an entity is
+    copied TWIN_BLOCKS times at most.
     """
-    own = profile.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct("channel", "events"))).alias("v")).where(F.size("v") >= least_common)
-    rows = own.select(entity, "v", F.explode(F.map_keys("v")).alias("channel"))
-    a = rows.select("channel", F.col(entity).alias("entity_a"), F.col("v").alias("va"))
-    b = rows.select("channel", F.col(entity).alias("entity_b"), F.col("v").alias("vb"))
-    pairs = a.join(b, "channel").where("entity_a < entity_b")
-    common = F.array_sort(F.array_intersect(F.map_keys("va"), F.map_keys("vb")))
-    pairs = pairs.withColumn("common", common).where((F.size("common") >= least_common) & (F.col("channel") == F.col("common")[0]))
-    dot = lambda x, y: F.aggregate("common", F.lit(0.0), lambda s, c: s + F.element_at(x, c).cast("double") * F.element_at(y, c))
-    cos = dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))
-    return pairs.select("entity_a", "entity_b", F.size("common").alias("n_common"), F.round(cos, 4).alias("similarity"), cos.alias("_c")).where(F.col("_c") > similarity).drop("_c")
+    kind = profile.schema[entity].dataType.simpleString()
+    own = profile.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.collect_list(F.struct("channel", F.col("events").cast("double").alias("n"))).alias("v")).where(F.size("v") >= least_common)
+    blocks = F.greatest(F.lit(1), F.least(F.lit(TWIN_BLOCKS), F.ceil(F.count("*") / TWIN_BLOCK)))
+    n = F.broadcast(own.agg(blocks.alias("_n")))  # one row
+    rows = own.crossJoin(n).withColumn("side", F.pmod(F.xxhash64(entity), F.col("_n"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    cells = rows.select(F.col(entity).alias("e"), F.col("v.channel").alias("channels"), F.col("v.n").alias("n"), "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids = t["e"].to_pylist()
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        held = t["channels"].combine_chunks()
+        codes = held.flatten().dictionary_encode()
+        sizes = np.diff(held.offsets.to_numpy())
+        x = np.zeros((len(ids), len(codes.dictionary)))
+        at = np.repeat(np.arange(len(ids)), sizes), codes.indices.to_numpy()
+        x[at] = t["n"].combine_chunks().flatten().to_numpy()
+        has = np.zeros_like(x)
+        has[at] = 1
+        x, has, side = x[order], has[order], t["side"].to_numpy()[order]
+        cell = t["i"][0].as_py() != t["j"][0].as_py() if len(ids) else False
+        us, vs, common, cos = [], [], [], []
+        for a in range(0, len(ids), 256):
+            part = slice(a, a + 256)
+            shared = has[part] @ has.T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                c = (x[part] @ x.T) / np.sqrt(((x[part] ** 2) @ has.T) * (has[part] @ (x**2).T))
+            ok = (shared >= least_common) & (c > similarity) & (np.arange(len(ids)) > np.arange(a, min(a + 256, len(ids)))[:, None])
+            if cell:
+                ok &= side[part][:, None] != side
+            u, v = np.nonzero(ok)
+            us.append(u + a)
+            vs.append(v)
+            common.append(shared[u, v])
+            cos.append(c[u, v])
+        take = lambda parts: t["e"].take(pa.array(np.asarray(order)[np.concatenate(parts)] if parts else [], pa.int64()))
+        flat = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else [])
+        return pa.table({"entity_a": take(us), "entity_b": take(vs), "n_common": flat(common, np.int32), "cos": flat(cos, float)})
+
+    found = cells.groupBy("i", "j").applyInArrow(compare, f"entity_a {kind}, entity_b {kind}, n_common int, cos double")
+    return found.select("entity_a", "entity_b", "n_common", F.round("cos", 4).alias("similarity"))
 
 
 def family_scales(records: DataFrame, grain: int = 0) -> dict[str, Any]:
@@ -251,14 +287,11 @@ def family_scales(records: DataFrame, grain: int = 0) -> dict[str, Any]:
     own = estimate_grain(records).first()["grain"]
     size = max(own, grain)
     n = DAY // size
-    rows = folded_day(records, size).collect()  # the bins of one day
-    if n < 2 or len(rows) < 2:
+    day = folded_day(records, size)
+    first, last, held = day.agg(F.min("slot"), F.max("slot"), F.count("*")).first()
+    if n < 2 or held < 2:
         return {"grain": size, "scales": []}
-    first, last = min(r["slot"] for r in rows), max(r["slot"] for r in rows)
-    dense = np.zeros(last - first + 1)
-    for r in rows:
-        dense[r["slot"] - first] = r["n"]
-    scales = walk_scales(dense, n, 1, 0.01, 5)
+    scales = scales_of_mass(day.select((F.col("slot") - first).alias("bin"), F.col("n").cast("double").alias("m")), last - first + 1, n, 1, 0.01, 5)
     return {"grain": size, "scales": [{**s, "window_bins": s["window"], "window": s["window"] * size} for s in scales]}
 
 
@@ -293,8 +326,11 @@ def findings(scores: Sequence[Mapping], twins: Sequence[Mapping], error_rate: fl
     return sorted(out, key=lambda f: ("concern", "attention", "info").index(f["severity"]))
 
 
-def analyze(records: DataFrame, entity: str, schema: AnalysisSchema | None = None, grain: int | None = None, top_n: int = 10, error: str | Column | None = None) -> dict[str, Any]:
-    """All of the above over one records frame: a dict of distributed tables, small driver results and findings."""
+def analyze(records: DataFrame, entity: str, schema: AnalysisSchema | None = None, grain: int | None = None, top_n: int = 10, error: str | Column | None = None, shown: int = 200) -> dict[str, Any]:
+    """All of the above over one records frame: a dict of distributed tables, small driver results and findings.
+
+    Findings name the ``shown`` highest scores and twins; the tables behind them are whole.
+    """
     schema = schema or AnalysisSchema(categorical=(entity, "channel"))
     total = summary(records, list(schema.categorical) or [entity, "channel"], error, schema.summary_aliases)
     t = total.first().asDict()
@@ -309,10 +345,10 @@ def analyze(records: DataFrame, entity: str, schema: AnalysisSchema | None = Non
     twins = behavioural_twins(profile, entity)
     within = mi_pairs(counts, ["channel", entity], (), top_n)
     bridges = bridge_pairs(counts, [entity], ["channel"], top_n)
-    ranked = [r.asDict() | {"entity": r[entity]} for r in scores.orderBy(F.desc("score"), entity, "channel").limit(200).collect()]
+    ranked = [r.asDict() | {"entity": r[entity]} for r in scores.orderBy(F.desc("score"), entity, "channel").limit(shown).collect()]
     return {
         "summary": t, "grain": grain, "discovered_scales": scales, "channel_entropy": profile, "sessions": sessions, "families": join_sessions(records, schema.families),
         "session_scores": score_sessions(sessions, t["total_events"]), "scores": scores, "temporal": temporal_features(records, entity), "pairwise_mi": within.unionByName(bridges, allowMissingColumns=True),
         "scalemap": scalemap(records, active, grain) if active else None, "errors": error_rates(records, entity, error) if error is not None else None, "twins": twins,
-        "findings": findings(ranked, [r.asDict() for r in twins.orderBy(F.desc("similarity")).limit(50).collect()], t["error_rate"] or 0.0, [r.asDict() for r in bridges.orderBy(F.desc("mi")).limit(1).collect()], scales),
+        "findings": findings(ranked, [r.asDict() for r in twins.orderBy(F.desc("similarity"), "entity_a", "entity_b").limit(shown).collect()], t["error_rate"] or 0.0, [r.asDict() for r in bridges.orderBy(F.desc("mi")).limit(1).collect()], scales),
     }

@@ -14,12 +14,41 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregations import get_aggregation, get_profile
 from ..plans.lattice import SamplingPlan
-from .binning import bin_signal, densify
+from .binning import bin_signal
 
 #: Aggregations that differences of running sums give.
 PREFIX = ("mean", "sum", "count", "std", "var", "geometric_mean", "count_entropy")
 
 
+#: Aggregations of two overlapping windows that give that of both.
+EXTREMES = {"max": F.greatest, "min": F.least}
+#: Bins of a chunk at least.
+CHUNK = 4096
+
+
+def chunks(binned: DataFrame, by: Sequence[str], longest: int, axis: str = "signal") -> DataFrame:
+    """by, _chunk, bin, value, n_events for every bin of a signal, empty ones as nulls, with _first (its first bin), _centre (its mean).
+
+    A chunk also holds the ``longest`` - 1 bins after it, for which _own is false.
+    """
+    if axis not in ("signal", "global"):
+        raise ValueError(f"axis is signal or global, not {axis!r}")
+    size, halo = max(CHUNK, 2 * longest), longest - 1
+    ends = binned.groupBy(*by).agg(F.min("bin").alias("_first"), F.max("bin").alias("_last"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("_centre"))
+    if axis == "global":
+        whole = binned.agg(F.min("bin").alias("_first"), F.max("bin").alias("_last"))  # one row
+        ends = ends.drop("_first", "_last").crossJoin(F.broadcast(whole))
+    at = lambda c: F.floor(c / size)
+    lo = F.col("_chunk") * size
+    spine = ends.select(*by, "_first", "_last", "_centre", F.explode(F.sequence(at(F.col("_first")), at(F.col("_last")))).alias("_chunk"))
+    spine = spine.select(*by, "_chunk", "_first", "_centre", F.explode(F.sequence(F.greatest("_first", lo), F.least("_last", lo + size - 1 + halo))).alias("bin"))
+    held = F.when(F.pmod("bin", F.lit(size)) < halo, F.array(at(F.col("bin")) - 1, at(F.col("bin")))).otherwise(F.array(at(F.col("bin"))))
+    values = binned.select(*by, F.explode(held).alias("_chunk"), "bin", "value", "n_events")
+    n = int(binned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = spine.unionByName(values, allowMissingColumns=True).repartition(n, *by, "_chunk").groupBy(*by, "_chunk", "bin")
+    return rows.agg(*[F.max(c).alias(c) for c in ("_first", "_centre", "value", "n_events")]).where("_first IS NOT NULL").withColumn("_own", F.col("bin") < lo + size)
+
+
 class RunningSums:
     """Sums over [bin, bin + width) of dense rows from one running window, whatever the number of widths.
 
@@ -66,16 +95,17 @@ def _prefix_value(name: str, s: dict[str, Column]) -> Column:
 def measure(binned: DataFrame, plan: SamplingPlan, by: Sequence[str], agg: str | Sequence[str] = "mean", axis: str = "signal", profile: str | None = None) -> DataFrame:
     """The surface of ``binned`` (by, bin, value, n_events).
 
-    One shuffle by ``by`` serves the spine, the running sums and all scales. Aggregations that running sums
-    cannot give are evaluated on the values of each window.
+    A signal is dealt over chunks of its bins, each with as many of the following bins as the longest window
+    needs, so a long signal is many tasks; one shuffle by ``by`` and chunk serves the spine, the running sums
+    and all scales. Cells are differences in the chunk's array of running sums, read at both ends of a window. Extremes come from those of 1, 2, 4, ... bins; aggregations that neither can give are
+    evaluated on the values of each window.
     """
     names = list(get_profile(profile)) if profile else [agg] if isinstance(agg, str) else list(agg)
     by = list(by)
-    dense = densify(binned.select(*by, "bin", "value", F.col("n_events").cast("double").alias("n_events")), by, axis)
-    group = Window.partitionBy(*by)
+    dense = chunks(binned.select(*by, "bin", "value", F.col("n_events").cast("double").alias("n_events")), by, max(plan.scales), axis)
+    near = [*by, "_chunk"]
     v, e = F.col("value"), F.col("n_events")
-    dense = dense.withColumns({"_first": F.min("bin").over(group), "_centre": F.coalesce(F.avg("value").over(group), F.lit(0.0))})
-    sums = RunningSums(by)
+    sums = RunningSums(near)
     sums.add("n", v.isNotNull().cast("double"))
     sums.add("v", v)
     sums.add("events", e)
@@ -86,30 +116,45 @@ def measure(binned: DataFrame, plan: SamplingPlan, by: Sequence[str], agg: str |
         sums.add("log", F.when(v > 0, F.log(v)))
     if "count_entropy" in names:
         sums.add("clogc", F.when(e > 0, e * F.log2(e)))
-    rows = sums.frame(dense)
-    other = [n for n in names if n not in PREFIX]
-    arrays = {}
-    if other:
-        for s in plan.scales:
-            forward = Window.partitionBy(*by).orderBy("bin").rowsBetween(0, s - 1)
-            arrays[s] = f"_a_{s}"
-            rows = rows.withColumn(arrays[s], F.collect_list("value").over(forward))
-    totals = {(t, s): sums.total(t, s).alias(f"_{t}_{s}") for s in plan.scales for t in sums.terms}
-    rows = rows.select(*by, "bin", "_first", *arrays.values(), *totals.values())
-    cells = []
-    for i, (window, s, h) in enumerate(zip(plan.windows, plan.scales, plan.hop_bins, strict=True)):
-        start = F.pmod(F.col("bin") - F.col("_first"), F.lit(h)) == 0 if h > 1 else F.lit(True)
-        got = {t: F.col(f"_{t}_{s}") for t in sums.terms}
-        cells.append(F.struct(
-            F.lit(i).alias("scale_idx"), F.lit(s).cast("long").alias("scale"), F.lit(window).cast("long").alias("window"),
-            F.when(start, F.round(got["events"])).otherwise(0.0).cast("long").alias("n_events"), F.when(start, got["n"] / s).otherwise(0.0).alias("coverage"),
-            *[F.when(start, _prefix_value(n, got)).alias(n) for n in names if n in PREFIX],
-            *([F.when(start, F.col(arrays[s])).alias("_values")] if other else []),
-        ))
-    long = rows.select(*by, "bin", F.inline(F.array(*cells)))
-    for n in other:
-        long = long.withColumn(n, F.when(F.size("_values") > 0, get_aggregation(n).array(F.col("_values"))))
-    return long.select(*by, "scale_idx", "scale", "window", "bin", "n_events", "coverage", *names)
+    rows = dense.withColumns({f"_t_{n}": t for n, t in sums.terms.items()})
+    upto = Window.partitionBy(*near).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_s_{n}": F.sum(f"_t_{n}").over(upto) for n in sums.terms})
+    longest, after, columns = max(plan.scales), Window.partitionBy(*near).orderBy("bin"), [f"_s_{n}" for n in sums.terms]
+    doubled = [2**i for i in range(longest.bit_length())]
+    for n in (n for n in names if n in EXTREMES):  # over 1, 2, 4, ... bins
+        rows = rows.withColumn(f"_{n}_1", v)
+        for w in doubled[1:]:
+            rows = rows.withColumn(f"_{n}_{w}", EXTREMES[n](F.col(f"_{n}_{w // 2}"), F.lead(f"_{n}_{w // 2}", w // 2).over(after)))
+        columns += [f"_{n}_{w}" for w in doubled]
+    other = [n for n in names if n not in PREFIX and n not in EXTREMES]
+    columns += ["value"] if other else []
+    held = rows.groupBy(*near).agg(F.sort_array(F.collect_list(F.struct("bin", *columns))).alias("_x"), F.min("_first").alias("_first"), F.min("bin").alias("_at"), F.count_if("_own").cast("int").alias("_n"))
+    arrays = [(F.concat(F.array(F.lit(0.0)), F.col(f"_x.{c}")) if c.startswith("_s_") else F.col(f"_x.{c}")).alias(c) for c in columns]
+    level = [max(i for i, w in enumerate(doubled) if w <= s) for s in plan.scales]
+    scales = F.array(*[F.struct(F.lit(i).alias("scale_idx"), F.lit(s).cast("int").alias("s"), F.lit(window).cast("long").alias("window"), F.lit(h).cast("int").alias("h"), F.lit(k).alias("k")) for i, (s, window, h, k) in enumerate(zip(plan.scales, plan.windows, plan.hop_bins, level, strict=True))])
+    cells = held.select(*by, "_first", "_at", "_n", F.size("_x").alias("_size"), *arrays).select("*", F.explode(scales).alias("_c")).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
+    s, at = F.col("_c.s"), F.col("_i")
+    got = {t: F.get(F.col(f"_s_{t}"), F.least(at + s, F.col("_size"))) - F.get(F.col(f"_s_{t}"), at) for t in sums.terms}
+    long = cells.select(
+        *by, "_c.scale_idx", s.cast("long").alias("scale"), "_c.window", (F.col("_at") + at).alias("bin"), (F.pmod(F.col("_at") + at - F.col("_first"), F.col("_c.h")) == 0).alias("_start"),
+        *[c.alias(f"_{t}") for t, c in got.items()], *[_extreme(n, doubled, s, at).alias(f"_{n}") for n in names if n in EXTREMES],
+        *([F.filter(F.slice("value", at + 1, s), lambda x: x.isNotNull()).alias("_values")] if other else []),
+    )
+    terms = {t: F.col(f"_{t}") for t in sums.terms}
+    value = {n: _prefix_value(n, terms) if n in PREFIX else F.col(f"_{n}") if n in EXTREMES else F.when(F.size("_values") > 0, get_aggregation(n).array(F.col("_values"))) for n in names}
+    return long.select(
+        *by, "scale_idx", "scale", "window", "bin", F.when(F.col("_start"), F.round("_events")).otherwise(0.0).cast("long").alias("n_events"),
+        F.when(F.col("_start"), F.col("_n") / F.col("scale")).otherwise(0.0).alias("coverage"), *[F.when(F.col("_start"), c).alias(n) for n, c in value.items()],
+    )
+
+
+def _extreme(name: str, doubled: Sequence[int], width: Column, at: Column) -> Column:
+    """Of ``width`` bins from ``at``: of two overlapping stretches of the largest power of two within."""
+    out = F.lit(None).cast("double")
+    for i, w in enumerate(doubled):
+        of = F.col(f"_{name}_{w}")
+        out = F.when(F.col("_c.k") == i, EXTREMES[name](F.get(of, at), F.get(of, F.least(at + width - w, F.col("_size") - 1)))).otherwise(out)
+    return out
 
 
 def measure_signal(signals: DataFrame, plan: SamplingPlan, by: Sequence[str], agg: str | Sequence[str] = "mean") -> DataFrame:

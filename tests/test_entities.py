@@ -58,9 +58,8 @@ def test_information_cuts_against_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(20):
         counts = rng.poisson(rng.choice([0.2, 3.0], 24)).astype(float)
-        out = []
-        segments._cut(counts, 0, 24, 0.1, 2, 20, out)
-        assert sorted(out) == sorted(slow_cuts(counts, 0, 24, 0.1, 2))
+        held = np.flatnonzero(counts)
+        assert segments.cut_points(held, counts[held], 24, 0.1, 2) == sorted(slow_cuts(counts, 0, 24, 0.1, 2))
 
 
 def test_information_and_lattice_segments(spark):
@@ -132,20 +131,61 @@ def test_entropy_family(spark):
 def test_best_split(spark):
     df = spark.createDataFrame([("c", i, n) for i, n in enumerate([4, 4, 0, 0, 8, 0])], "channel string, bin long, n_events long")
     assert tuple(information.best_split(df, ["channel"]).first())[1:] == (2, pytest.approx(1.0))
-    assert information.best_split_np(np.array([4.0, 4, 0, 0, 8, 0])) == (2, pytest.approx(1.0))
-    assert information.best_split_np(np.zeros(4)) == (0, 0.0)
 
 
 def test_scale_walk(spark):
-    dense = np.array([5.0] * 180 + [0.0] * 180)
-    scales = information.walk_scales(dense, 360)
+    mass = spark.createDataFrame([(i, 5.0) for i in range(180)], "bin long, m double")
+    scales = information.scales_of_mass(mass, 360, 360)
     assert scales[0] == {"window": 360, "entropy": 0.0, "gain": 0.0, "bins": 1} and any(s["gain"] > 0.9 for s in scales)
     assert [s["window"] for s in scales] == sorted((s["window"] for s in scales), reverse=True)
-    assert information.walk_scales(np.array([1.0]), 4) == []
+    assert information.scales_of_mass(mass.where("bin < 0"), 1, 4) == [] and information.scales_of_mass(mass.limit(1), 1, 4, min_events=9) == []
     sig = spark.createDataFrame([(i, 5.0) for i in range(180)] + [(359, 1.0)], "order long, value double")
     assert 360 in information.discover_plan(sig, 360).windows
 
 
+def test_scale_profile_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(information, "CHUNK", 32)
+    rng = np.random.default_rng(7)
+    dense = rng.poisson(0.8, 200).astype(float)
+    dense[0] = dense[-1] = 1
+    held = np.flatnonzero(dense)
+    mass = spark.createDataFrame([(int(i), float(dense[i])) for i in held], "bin long, m double")
+    h = lambda c: -sum(x / c.sum() * math.log2(x / c.sum()) for x in c if x)
+    for r in information.scale_profile(mass, 200, [1, 2, 7, 30, 66, 67, 100, 150, 300]).collect():
+        n = 200 // r.width
+        c = dense[: n * r.width].reshape(n, r.width).sum(axis=1) if n else dense
+        gain = max((h(np.array([c[:i].sum(), c[i:].sum()])) for i in range(1, n - 1)), default=0.0)
+        assert (r.bins, r.mass, r.entropy, r.gain) == (max(1, n), c.sum(), pytest.approx(h(c)), pytest.approx(gain)), r
+
+
+def test_distances_without_a_key(spark):
+    rng = np.random.default_rng(1)
+    orders = sorted({int(x) for x in rng.integers(0, 10**6, 500)} | {0, 5 * 10**8})
+    got = sorted(r.gap for r in segments.gaps(spark.createDataFrame([(x,) for x in orders * 2], "order long"), []).collect())
+    assert got == sorted(np.diff(orders).tolist())
+    frame = spark.createDataFrame([(int(x),) for x in [12, 30, 18, 600]], "gap long")
+    assert segments.interval_width(frame, "gcd_interval") == 6 and segments.gaps(frame.selectExpr("gap order").limit(0), []).count() == 0
+
+
+def test_twins_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(analysis, "TWIN_BLOCK", 7)
+    rng = np.random.default_rng(3)
+    rows = [(f"e{e}", f"c{c}", int(rng.integers(1, 9))) for e in range(40) for c in range(6) if rng.random() < 0.7]
+    of = {}
+    for e, c, n in rows:
+        of.setdefault(e, {})[c] = n
+    want = {}
+    for a in of:
+        for b in of:
+            common = of[a].keys() & of[b].keys()
+            if a < b and len(common) >= 3:
+                x, y = (np.array([of[k][c] for c in sorted(common)], float) for k in (a, b))
+                if (cos := x @ y / math.sqrt((x @ x) * (y @ y))) > 0.95:
+                    want[a, b] = (len(common), round(cos, 4))
+    got = {(r.entity_a, r.entity_b): (r.n_common, r.similarity) for r in analysis.behavioural_twins(spark.createDataFrame([*rows, (None, "c1", 3)], "e string, channel string, events long"), "e").collect()}
+    assert got == want and len(want) > 10
+
+
 def test_analysis_pieces(spark):
     rec = records(spark, [(u, c, t) for u in ("a/x", "b/y", "c/z") for c in "pqr" for t in range(0, 86400, 3600 if u[0] != "c" else 7200)])
     s = analysis.summary(rec, ["user", "channel"], F.col("channel") == "p", {"user": "people"}).first()
