@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import binning, features, information, surface, surface_ops
 from ..sources import sinks
-from .common import CENTS, DENSE, HOUR, HOURLY, MEANS, PAIRED, PLAN, REC, cells, events, hourly, query, r, scaled
+from .common import CENTS, DENSE, HOUR, HOURLY, MEANS, PAIRED, PLAN, REC, cells, cents, events, hourly, query, r, scaled, surface_sql
 
 BY = ["channel"]
 
@@ -237,10 +237,10 @@ def _(spark, d):
     return information.mutual_information(_pairs(spark, d), ["day"], "a", "b").select("day", (F.round("mi", 6) + 0.0).alias("mi"))
 
 
-@query("kl_divergence", f"{_PAIRS} SELECT day, CASE WHEN sum(a) <= 0 OR sum(b) <= 0 THEN 0 ELSE round(sum(a * log2(a / b)) FILTER (WHERE a > 0 AND b > 0) / sum(a) + sum(a) FILTER (WHERE a > 0 AND b > 0) / sum(a) * log2(sum(b) / sum(a)), 6) END AS kl FROM p GROUP BY 1 HAVING sum(a) FILTER (WHERE a > 0 AND b > 0) > 0")
+@query("kl_divergence", f"{_PAIRS} SELECT day, CASE WHEN sum(a) <= 0 OR sum(b) <= 0 THEN 0 WHEN coalesce(sum(a) FILTER (WHERE a > 0 AND b > 0), 0) = 0 THEN 999 ELSE round(sum(a * log2(a / b)) FILTER (WHERE a > 0 AND b > 0) / sum(a) + sum(a) FILTER (WHERE a > 0 AND b > 0) / sum(a) * log2(sum(b) / sum(a)), 6) END AS kl FROM p GROUP BY 1")
 def _(spark, d):
     got = _pairs(spark, d).groupBy("day").agg(information.kl_divergence(F.col("a"), F.col("b")).alias("kl"))
-    return got.where(F.col("kl") != float("inf")).select("day", r("kl"))
+    return got.select("day", F.when(F.col("kl") == float("inf"), 999.0).otherwise(F.round("kl", 6)).alias("kl"))
 
 
 _SPLIT = f"WITH {DENSE}, c AS (SELECT channel, bin, row_number() OVER (PARTITION BY channel ORDER BY bin) AS pos, count(*) OVER (PARTITION BY channel) AS n, sum(n_events) OVER (PARTITION BY channel ORDER BY bin) / sum(n_events) OVER (PARTITION BY channel) AS p FROM dense), g AS (SELECT channel, bin, pos, n, CASE WHEN p > 0 AND p < 1 THEN -p * log2(p) - (1 - p) * log2(1 - p) ELSE 0 END AS gain FROM c)"
@@ -260,19 +260,41 @@ def _(spark, d):
     return information.best_split(_dense(spark, d), BY).select("channel", F.col("pos").cast("long"), r("gain"))
 
 
-@query("discover_scales")
+#: The profile of all divisors of 720 hours, and the walk over them: a scale that gains or has one cell opens those a prime step below.
+_WALK = f"""WITH RECURSIVE {REC}, m AS (SELECT ord // 3600 AS b, count(*) AS m FROM rec GROUP BY 1), size AS (SELECT min(b) AS lo, max(b) - min(b) + 1 AS n FROM m),
+d AS (SELECT w, n FROM range(1, 721) t(w), size WHERE 720 % w = 0),
+c AS (SELECT w, CASE WHEN w > n THEN b - lo ELSE (b - lo) // w END AS cell, sum(m) AS m FROM m, size JOIN d USING (n) WHERE w > n OR (b - lo) // w < n // w GROUP BY 1, 2),
+t AS (SELECT w, sum(m) AS total, greatest(0, log2(sum(m)) - sum(m * log2(m)) / sum(m)) AS entropy FROM c GROUP BY 1),
+g AS (SELECT w, unnest(range(n // w)) AS cell, n // w AS bins FROM d WHERE w <= n),
+p AS (SELECT g.w, cell, bins, sum(coalesce(m, 0)) OVER (PARTITION BY g.w ORDER BY cell) / total AS p FROM g LEFT JOIN c USING (w, cell) JOIN t ON t.w = g.w),
+s AS (SELECT w, max(CASE WHEN p > 0 AND p < 1 THEN -p * log2(p) - (1 - p) * log2(1 - p) ELSE 0 END) AS gain FROM p WHERE cell <= bins - 3 GROUP BY 1),
+f AS (SELECT w, w > n AS wide, greatest(1, n // w) AS bins, total, entropy, coalesce(gain, 0) AS gain FROM d JOIN t USING (w) LEFT JOIN s USING (w)),
+walk(w) AS (SELECT 720 UNION SELECT w // x FROM walk JOIN f USING (w), (VALUES (2), (3), (5)) v(x) WHERE w % x = 0 AND (wide OR total >= 2) AND (gain >= 0.0001 OR bins = 1)),
+found AS (SELECT w * 3600 AS win, bins, round(entropy, 6) AS entropy, round(gain, 6) AS gain FROM walk JOIN f USING (w) WHERE wide OR total >= 2)"""
+
+
+@query("discover_scales", f"{_WALK} SELECT win, bins, entropy, gain FROM found")
 def _(spark, d):
     sig = binning.records_to_signals(events(spark, d), [], "count")
     rows = [(s["window"], s["bins"], round(s["entropy"], 6), round(s["gain"], 6)) for s in information.discover_scales(sig, 720 * HOUR, HOUR, 0.0001)]
     return spark.createDataFrame(rows, "win long, bins long, entropy double, gain double")
 
 
-@query("discover_plan")
+@query("discover_plan", f"{_WALK} SELECT row_number() OVER (ORDER BY win) - 1 AS scale_idx, win, 3600 AS hop, win // 3600 AS w_bins, 1 AS h_bins FROM found WHERE gain > 0 OR win = 2592000")
 def _(spark, d):
     sig = binning.records_to_signals(events(spark, d), [], "count")
     return information.discover_plan(sig, 720 * HOUR, HOUR, 0.0001).dataframe(spark).selectExpr("scale_idx", "window AS win", "hop", "w_bins", "h_bins")
 
 
+_POINTS = f"{CENTS}, pts AS (SELECT channel, ord, avg(value) AS v FROM rec GROUP BY 1, 2), binned AS (SELECT channel, ord // 3600 AS bin, avg(v) AS value, count(*) AS n_events FROM pts GROUP BY 1, 2)"
+
+
+@query("measure_signal", surface_sql("round(avg(value) / 997, 5) + 0.0 AS mean, CAST(sum(n_events) AS BIGINT) AS n_events").replace(HOURLY, _POINTS))
+def _(spark, d):
+    s = surface.measure_signal(binning.records_to_signals(cents(spark, d), BY, "mean"), PLAN, BY)
+    return cells(s, scaled("mean"), "n_events")
+
+
 @query("folded_day", f"WITH {REC} SELECT ((ord - (SELECT min(ord) FROM rec)) % 86400) // 1800 AS slot, count(*) AS n FROM rec GROUP BY 1")
 def _(spark, d):
     return information.folded_day(events(spark, d), 1800)
