@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scaleloom.llm import benchmark_leaks, language_id, mixing, pii, simhash_dedup
-from scaleloom.llm.common import stash, table
+from scaleloom.llm.common import clear, stash, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The documents through all stages. A stage's intermediate tables go when its result is written."""
+    docs, since = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
+        clear(spark, since, [docs])
     return STAGES[-1][1](spark, docs, sf_dir)

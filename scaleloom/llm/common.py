@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,7 @@ def stash(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
@@ -49,6 +52,22 @@ def unstash(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if df._stash_path in _written:
+        _written.remove(df._stash_path)
+
+
+def written() -> int:
+    """How many tables ``stash`` has written and ``clear`` not deleted."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: Sequence[DataFrame] = ()) -> None:
+    """Deletes what ``stash`` wrote after ``written`` gave ``since``, but for ``keep``: once a result is written, no table behind it is read again."""
+    kept = {df._stash_path for df in keep}
+    for at in [p for p in _written[since:] if p not in kept]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(at)
 
 
 def _signature(edges: DataFrame) -> tuple:

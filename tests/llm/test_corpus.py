@@ -9,7 +9,7 @@ from math import ceil, floor
 import numpy as np
 
 import corpus_pipeline
-from scaleloom.llm import benchmark_leaks, features, mixing, quality_classifier
+from scaleloom.llm import benchmark_leaks, common, features, mixing, quality_classifier
 from scaleloom.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k string, h string, mix_slot string"
@@ -192,7 +192,9 @@ def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     leaks = {r.doc_id for r in QUERIES["op3_benchmark_leaks"](spark, d).collect()}
+    before = common.written()
     out = corpus_pipeline.run(spark, d).collect()
+    assert common.written() - before <= 2  # the last stage's documents and its own table
     ids = {r.doc_id for r in out}
     assert ids and not ids & leaks and len(ids) == len(out)
     assert [c for c in corpus_pipeline.run(spark, d).columns if not c.startswith("mix_")] == docs.columns
