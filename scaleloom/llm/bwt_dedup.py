@@ -32,13 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import lookup, stash
 
 LENGTH, GRAM = 100, 40
 #: Windows for a bucket on average and shards in it; different windows of one anchor that go to one bucket at most.
 BUCKET, SHARDS, VARIANTS = 2_000, 4, 2_000
-#: Windows with one content beyond which it is broadcast, so that they need not meet in a task, and such contents that are broadcast at most.
-FREQUENT, BROADCAST_KEYS = 500, 1_000_000
 #: Document ids up to this number are broadcast to pick the texts that are needed; more are joined.
 BROADCAST_IDS = 2_000_000
 _SPAN = LENGTH - GRAM + 1
@@ -441,13 +439,7 @@ def removed_intervals(src: DataFrame) -> DataFrame:
     first = windows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start", "left", "size", "self")).alias("first"), F.count("*").alias("n"))
     first = stash(first, "first")
     twice = first.where("n > 1").select("anchor", "content", "n", F.col("first.doc_id").alias("d"), F.col("first.start").alias("s"))
-    frequent = twice.where(f"n > {FREQUENT}")  # at most one for FREQUENT windows
-    if 0 < frequent.count() <= BROADCAST_KEYS:
-        both = windows.join(F.broadcast(frequent), ["anchor", "content"])
-        rare = windows.join(F.broadcast(frequent.select("anchor", "content")), ["anchor", "content"], "left_anti")
-        both = both.unionByName(rare.join(twice.where(f"n <= {FREQUENT}"), ["anchor", "content"]))
-    else:
-        both = windows.join(twice, ["anchor", "content"])
+    both = lookup(windows, twice, ["anchor", "content"])
     copies = both.where("doc_id <> d OR start <> s").select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"))
     differing = first.groupBy("anchor").agg(F.count("*").alias("variants"), F.max("first.self").alias("self")).where("variants > 1 OR self").select("anchor", "variants")
     wanted = stash(first.join(differing, "anchor").select("anchor", "variants", "first.*"), "wanted")

@@ -74,23 +74,44 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
 
 
+#: Rows with one key beyond which its entry of a lookup table is broadcast, and entries that are broadcast at most.
+FREQUENT, BROADCAST_KEYS = 500, 1_000_000
+
+
+def lookup(rows: DataFrame, table_: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
+    """``rows`` joined with ``table_``, which has one entry for each key and in ``n`` how many rows hold it (dropped).
+
+    Entries of frequent keys, at most one for FREQUENT rows, are broadcast if there are not too many of them: so no
+    key brings its rows into one task. The others meet by a shuffle. ``table_`` is read three times.
+    """
+    keys = list(keys)
+    frequent = table_.where(F.col(n) > FREQUENT)
+    if not 0 < frequent.count() <= BROADCAST_KEYS:
+        return rows.join(table_.drop(n), keys)
+    hot = rows.join(F.broadcast(frequent.drop(n)), keys)
+    rest = rows.join(F.broadcast(frequent.select(*keys)), keys, "left_anti").join(table_.where(F.col(n) <= FREQUENT).drop(n), keys)
+    return hot.unionByName(rest)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (u, v); component is the least node reachable.
 
     Alternating large-star and small-star rounds: every round is two grouped minima (combined
-    before the shuffle) and two equi-joins, and is written to the shared folder. Nothing is
-    collected but a signature of three numbers. Null ends and loops are ignored; no edges give no rows.
+    before the shuffle) and two lookups of them, in which a node with many edges is broadcast; it is written
+    to the shared folder. Nothing is collected but a signature of three numbers. Null ends and loops are
+    ignored; no edges give no rows.
     """
     e = stash(edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), "cc")
     before = _signature(e)
     while before[0]:
         both = e.unionByName(e.selectExpr("v AS u", "u AS v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
-        large = both.join(low, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").selectExpr("v AS u", "m AS v")
-        new = stash(small.unionByName(low.selectExpr("u", "m AS v")).distinct(), "cc")
-        unstash(e)
+        low = stash(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).selectExpr("u", "least(u, m) AS m", "n"), "cc")
+        large = stash(lookup(both, low, ["u"]).where("v > u").selectExpr("v AS u", "m AS v").distinct(), "cc")
+        least = stash(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc")
+        small = lookup(large, least, ["u"]).where("v <> m").selectExpr("v AS u", "m AS v")
+        new = stash(small.unionByName(least.selectExpr("u", "m AS v")).distinct(), "cc")
+        for old in (e, low, large, least):
+            unstash(old)
         e, now = new, _signature(new)
         if now == before:
             break

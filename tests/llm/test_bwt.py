@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from scaleloom.llm import bwt_dedup
+from scaleloom.llm import bwt_dedup, common
 
 DOCS = "doc_id long, text string, start string, end string, anchor string"
 
@@ -62,6 +62,7 @@ def test_merge_gives_the_intervals(length):
 def test_deduplicate(spark, monkeypatch, variants):
     monkeypatch.setattr(bwt_dedup, "VARIANTS", variants)
     monkeypatch.setattr(bwt_dedup, "BUCKET", 50)
+    monkeypatch.setattr(common, "FREQUENT", 2 if variants == 2 else 500)
     texts = corpus()
     want = brute({i: (t or "").encode() for i, t in enumerate(texts)})
     rows = [(i, t, "", "", "") for i, t in enumerate(texts)]

@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter
 
-from scaleloom.llm import quality_rules, url_filter
+import pytest
+
+from scaleloom.llm import common, quality_rules, url_filter
 from scaleloom.llm.common import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, extra string, w string"
@@ -139,7 +141,9 @@ def test_thresholds_brute_force(spark, monkeypatch):
     assert len(set(want.values())) == 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("frequent", [500, 2])
+def test_components(spark, monkeypatch, frequent):
+    monkeypatch.setattr(common, "FREQUENT", frequent)
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 300), (7, 7), (None, 3)] + [(1000, 1000 + i) for i in range(1, 40)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(chain, "u long, v long")).collect()))
     assert {got[i] for i in range(61)} == {0} and got[300] == 100 and got[1039] == 1000 and len(got) == 61 + 3 + 40
