@@ -102,7 +102,7 @@ def mi_pairs(signals: DataFrame, signal: Sequence[str], group: Sequence[str] = (
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_n"), *signal))
     best = size.withColumn("_r", rank).where(F.col("_r") <= top).drop("_n")
     pos = F.row_number().over(Window.partitionBy(*group, *signal).orderBy("order"))
-    rows = signals.join(F.broadcast(best), [*group, *signal]).withColumn("_pos", pos)
+    rows = signals.join(best, [*group, *signal]).withColumn("_pos", pos)
     a = rows.select(*group, "_pos", F.col("_r").alias("_ra"), *[F.col(c).alias(f"{c}_a") for c in signal], F.col("value").alias("_va"))
     b = rows.select(*group, "_pos", F.col("_r").alias("_rb"), *[F.col(c).alias(f"{c}_b") for c in signal], F.col("value").alias("_vb"))
     pairs = a.join(b, [*group, "_pos"]).where("_ra < _rb")

@@ -117,11 +117,22 @@ def derive_temporal(df: DataFrame, name: str, fn: Column | Callable[[dict[str, n
     return df.unionByName(got.select(*[F.col(c) if c in ("bin", "value") else new[c] for c in df.columns]))
 
 
+def with_rank(df: DataFrame, name: str, column: str, ties: Sequence[str] = (), chunks: int = 1024) -> DataFrame:
+    """Adds the place of each row by ``column`` and ``ties``, from 0, nulls first: ranks within chunks of the column's span, and the sizes of the chunks before."""
+    lo, hi = df.agg(F.min(column), F.max(column)).first()
+    size = max(1, -(-int((hi or 0) - (lo or 0) + 1) // chunks))
+    dealt = df.withColumn("_chunk", F.coalesce(F.floor((F.col(column) - F.lit(lo)) / size), F.lit(-1)).cast("long"))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each chunk
+    sizes = dealt.groupBy("_chunk").count().select("_chunk", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_chunk").orderBy(column, *ties)) - 1
+    return dealt.join(F.broadcast(sizes), "_chunk").withColumn(name, within + F.col("_before")).drop("_chunk", "_before")
+
+
 def zoom(records: DataFrame, start: int | None = None, end: int | None = None, column: str = "order", positions: bool = False) -> DataFrame:
     """The records from ``start`` up to before ``end``, by order or by position, with orders from 0."""
     seq = [c for c in ("seq",) if c in records.columns]
     if positions:
-        records = records.withColumn("_at", F.row_number().over(Window.orderBy(column, *seq)) - 1)
+        records = with_rank(records, "_at", column, seq)
     at = "_at" if positions else column
     for bound, op in ((start, ">="), (end, "<")):
         if bound is not None:
