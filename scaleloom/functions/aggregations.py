@@ -59,7 +59,16 @@ def _from_python(fn: Callable) -> Array:
     def run(arrays: pd.Series) -> pd.Series:
         return pd.Series([None if a is None or len(a) == 0 else float(fn(np.asarray(a, float))) for a in arrays])
 
-    return lambda a: F.pandas_udf(run, "double", PandasUDFType.SCALAR)(a)
+    def of(a: Column) -> Column:
+        return F.pandas_udf(run, "double", PandasUDFType.SCALAR)(a)
+
+    of.python = True
+    return of
+
+
+def is_python(name: str) -> bool:
+    """Whether an aggregation is a Python function, which cannot stand inside a higher-order function."""
+    return getattr(get_aggregation(name).array, "python", False)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

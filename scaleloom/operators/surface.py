@@ -7,12 +7,12 @@ hop from the first bin hold nulls, with coverage and n_events 0.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggregations import get_aggregation, get_profile
+from ..functions.aggregations import get_aggregation, get_profile, is_python
 from ..plans.lattice import SamplingPlan
 from .binning import bin_signal
 
@@ -128,26 +128,44 @@ def measure(binned: DataFrame, plan: SamplingPlan, by: Sequence[str], agg: str |
         columns += [f"_{n}_{w}" for w in doubled]
     other = [n for n in names if n not in PREFIX and n not in EXTREMES]
     columns += ["value"] if other else []
-    held = rows.groupBy(*near).agg(F.sort_array(F.collect_list(F.struct("bin", *columns))).alias("_x"), F.min("_first").alias("_first"), F.min("bin").alias("_at"), F.count_if("_own").cast("int").alias("_n"))
-    arrays = [(F.concat(F.array(F.lit(0.0)), F.col(f"_x.{c}")) if c.startswith("_s_") else F.col(f"_x.{c}")).alias(c) for c in columns]
-    level = [max(i for i, w in enumerate(doubled) if w <= s) for s in plan.scales]
-    scales = F.array(*[F.struct(F.lit(i).alias("scale_idx"), F.lit(s).cast("int").alias("s"), F.lit(window).cast("long").alias("window"), F.lit(h).cast("int").alias("h"), F.lit(k).alias("k")) for i, (s, window, h, k) in enumerate(zip(plan.scales, plan.windows, plan.hop_bins, level, strict=True))])
-    cells = held.select(*by, "_first", "_at", "_n", F.size("_x").alias("_size"), *arrays).select("*", F.explode(scales).alias("_c")).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
+    slow = [n for n in other if is_python(n)]
+    of = lambda n, i: get_aggregation(n).array(F.filter(F.slice("value", i + 1, F.col("_c.s")), lambda x: x.isNotNull()))
+    some = lambda n: lambda i: F.when(F.exists(F.slice("value", i + 1, F.col("_c.s")), lambda x: x.isNotNull()), of(n, i))
+    cells = window_cells(rows, by, columns, plan, {f"_o_{n}": some(n) for n in other if n not in slow})
     s, at = F.col("_c.s"), F.col("_i")
     got = {t: F.get(F.col(f"_s_{t}"), F.least(at + s, F.col("_size"))) - F.get(F.col(f"_s_{t}"), at) for t in sums.terms}
     long = cells.select(
         *by, "_c.scale_idx", s.cast("long").alias("scale"), "_c.window", (F.col("_at") + at).alias("bin"), (F.pmod(F.col("_at") + at - F.col("_first"), F.col("_c.h")) == 0).alias("_start"),
         *[c.alias(f"_{t}") for t, c in got.items()], *[_extreme(n, doubled, s, at).alias(f"_{n}") for n in names if n in EXTREMES],
-        *([F.filter(F.slice("value", at + 1, s), lambda x: x.isNotNull()).alias("_values")] if other else []),
+        *[F.get(f"_o_{n}", at).alias(f"_o_{n}") for n in other if n not in slow], *([F.filter(F.slice("value", at + 1, s), lambda x: x.isNotNull()).alias("_values")] if slow else []),
     )
     terms = {t: F.col(f"_{t}") for t in sums.terms}
-    value = {n: _prefix_value(n, terms) if n in PREFIX else F.col(f"_{n}") if n in EXTREMES else F.when(F.size("_values") > 0, get_aggregation(n).array(F.col("_values"))) for n in names}
+    value = {n: _prefix_value(n, terms) if n in PREFIX else F.col(f"_{n}") if n in EXTREMES else F.col(f"_o_{n}") if n not in slow else F.when(F.size("_values") > 0, get_aggregation(n).array(F.col("_values"))) for n in names}
     return long.select(
         *by, "scale_idx", "scale", "window", "bin", F.when(F.col("_start"), F.round("_events")).otherwise(0.0).cast("long").alias("n_events"),
         F.when(F.col("_start"), F.col("_n") / F.col("scale")).otherwise(0.0).alias("coverage"), *[F.when(F.col("_start"), c).alias(n) for n, c in value.items()],
     )
 
 
+def window_cells(rows: DataFrame, by: Sequence[str], columns: Sequence[str], plan: SamplingPlan, per_window: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """A row for each scale and own bin of the chunks of ``rows``: by, _first, _at (first bin of the chunk), _size, _c (scale_idx, s, window, h, k), _i (place of the bin) and the chunk's arrays.
+
+    Arrays hold ``columns`` by bin; running sums (_s_*) begin with a zero. ``per_window`` gives further arrays, one
+    value for each place, from functions of a place that read the arrays and _c.s: they are evaluated once for each
+    chunk and scale, so that what makes cells of them moves numbers only.
+    """
+    near = [*by, "_chunk"]
+    held = rows.groupBy(*near).agg(F.sort_array(F.collect_list(F.struct("bin", *columns))).alias("_x"), F.min("_first").alias("_first"), F.min("bin").alias("_at"), F.count_if("_own").cast("int").alias("_n"))
+    arrays = [(F.concat(F.array(F.lit(0.0)), F.col(f"_x.{c}")) if c.startswith("_s_") else F.col(f"_x.{c}")).alias(c) for c in columns]
+    level = [s.bit_length() - 1 for s in plan.scales]
+    scales = F.array(*[F.struct(F.lit(i).alias("scale_idx"), F.lit(s).cast("int").alias("s"), F.lit(window).cast("long").alias("window"), F.lit(h).cast("int").alias("h"), F.lit(k).alias("k")) for i, (s, window, h, k) in enumerate(zip(plan.scales, plan.windows, plan.hop_bins, level, strict=True))])
+    each = held.select(*by, "_first", "_at", "_n", F.size("_x").alias("_size"), *arrays).select("*", F.explode(scales).alias("_c"))
+    places = F.sequence(F.lit(0), F.col("_n") - 1)
+    for name, fn in (per_window or {}).items():
+        each = each.withColumn(name, F.transform(places, fn))
+    return each.select("*", F.explode(places).alias("_i"))
+
+
 def _extreme(name: str, doubled: Sequence[int], width: Column, at: Column) -> Column:
     """Of ``width`` bins from ``at``: of two overlapping stretches of the largest power of two within."""
     out = F.lit(None).cast("double")
