@@ -97,8 +97,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (u, v); component is the least node reachable.
 
     Alternating large-star and small-star rounds: every round is two grouped minima (combined
-    before the shuffle) and two lookups of them, in which a node with many edges is broadcast; it is written
-    to the shared folder. Nothing is collected but a signature of three numbers. Null ends and loops are
+    before the shuffle), a lookup of the first, in which a node with many edges is broadcast, and an equi-join
+    of the second; it is written to the shared folder. Nothing is collected but a signature of three numbers. Null ends and loops are
     ignored; no edges give no rows.
     """
     e = stash(edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), "cc")
@@ -106,12 +106,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.unionByName(e.selectExpr("v AS u", "u AS v"))
         low = stash(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).selectExpr("u", "least(u, m) AS m", "n"), "cc")
-        large = stash(lookup(both, low, ["u"]).where("v > u").selectExpr("v AS u", "m AS v").distinct(), "cc")
-        least = stash(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc")
-        small = lookup(large, least, ["u"]).where("v <> m").selectExpr("v AS u", "m AS v")
+        large = lookup(both, low, ["u"]).where("v > u").selectExpr("v AS u", "m AS v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").selectExpr("v AS u", "m AS v")
         new = stash(small.unionByName(least.selectExpr("u", "m AS v")).distinct(), "cc")
-        for old in (e, low, large, least):
-            unstash(old)
+        unstash(e)
+        unstash(low)
         e, now = new, _signature(new)
         if now == before:
             break
