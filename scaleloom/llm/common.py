@@ -70,10 +70,6 @@ def clear(spark: SparkSession, since: int = 0, keep: Sequence[DataFrame] = ()) -
         _written.remove(at)
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
-
-
 #: Rows with one key beyond which its entry of a lookup table is broadcast, and entries that are broadcast at most.
 FREQUENT, BROADCAST_KEYS = 500, 1_000_000
 
@@ -98,22 +94,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: every round is two grouped minima (combined
     before the shuffle), a lookup of the first, in which a node with many edges is broadcast, and an equi-join
-    of the second; it is written to the shared folder. Nothing is collected but a signature of three numbers. Null ends and loops are
-    ignored; no edges give no rows.
+    of the second; both stars are written to the shared folder, so that no plan holds the lookup twice. The rounds
+    end when all is stars around least nodes, that is when no node with a lesser neighbour has another one. Nothing
+    is collected but whether there is such a node. Null ends and loops are ignored; no edges give no rows.
     """
     e = stash(edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), "cc")
-    before = _signature(e)
-    while before[0]:
+    while True:
         both = e.unionByName(e.selectExpr("v AS u", "u AS v"))
         low = stash(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).selectExpr("u", "least(u, m) AS m", "n"), "cc")
-        large = lookup(both, low, ["u"]).where("v > u").selectExpr("v AS u", "m AS v").distinct()
+        if low.where("m < u AND n > 1").isEmpty():
+            break
+        large = stash(lookup(both, low, ["u"]).where("v > u").selectExpr("v AS u", "m AS v").distinct(), "cc")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").selectExpr("v AS u", "m AS v")
         new = stash(small.unionByName(least.selectExpr("u", "m AS v")).distinct(), "cc")
-        unstash(e)
-        unstash(low)
-        e, now = new, _signature(new)
-        if now == before:
-            break
-        before = now
-    return e.selectExpr("u AS node", "v AS component").unionByName(e.selectExpr("v AS node", "v AS component").distinct())
+        for old in (e, low, large):
+            unstash(old)
+        e = new
+    unstash(e)
+    return low.selectExpr("u AS node", "m AS component")

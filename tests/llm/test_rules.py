@@ -147,3 +147,39 @@ def test_components(spark, monkeypatch, frequent):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 300), (7, 7), (None, 3)] + [(1000, 1000 + i) for i in range(1, 40)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(chain, "u long, v long")).collect()))
     assert {got[i] for i in range(61)} == {0} and got[300] == 100 and got[1039] == 1000 and len(got) == 61 + 3 + 40
+
+
+def test_components_compute_a_star_once(spark, monkeypatch):
+    """No table of a round holds the lookup, which broadcasts, more than once: it has four joins, as one of its three is pushed into a union."""
+    joins, write = [], common.stash
+
+    def counted(df, name="part"):
+        joins.append(len(re.findall(r"\bJoin ", df._jdf.queryExecution().optimizedPlan().toString())))
+        return write(df, name)
+
+    monkeypatch.setattr(common, "FREQUENT", 2)
+    monkeypatch.setattr(common, "stash", counted)
+    hubs = [(h, h + i) for h in (0, 1000) for i in range(1, 40)] + [(39, 1039)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(hubs, "u long, v long")).collect()))
+    assert len(got) == 80 and set(got.values()) == {0}
+    assert 1 < max(joins) <= 4, joins
+
+
+def test_components_end_with_stars(spark, monkeypatch):
+    """Stars take no round, and components equal those of a plain union."""
+    tables, write = [], common.stash
+    monkeypatch.setattr(common, "stash", lambda df, name="part": tables.append(name) or write(df, name))
+    stars = [(1 + i, 10 * i) for i in range(3, 8)] + [(0, 100), (100, 0), (0, 101)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(stars, "u long, v long")).collect()))
+    assert got == {n: min(e) if max(e) < 100 else 0 for e in stars for n in e} and len(tables) == 2
+    assert connected_components(spark.createDataFrame([(5, 5), (None, 1)], "u long, v long")).count() == 0
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
+    root = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in root:
+        for u, v in edges:
+            if u != v:
+                root[u] = root[v] = min(root[u], root[v])
+    rows = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(rows) == len(root) and dict(map(tuple, rows)) == root
