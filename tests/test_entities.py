@@ -186,6 +186,24 @@ def test_twins_brute_force(spark, monkeypatch):
     assert got == want and len(want) > 10
 
 
+def test_twins_in_bounded_blocks(spark, monkeypatch):
+    rows = [(e, f"c{c}", 1 + (e * (c + 3)) % 11) for e in range(60) for c in range(4)]
+    prof = spark.createDataFrame(rows, "e long, channel string, events long")
+    want = {(r.entity_a, r.entity_b): (r.n_common, r.similarity) for r in analysis.behavioural_twins(prof, "e").collect()}
+    for name, n in {"TWIN_BLOCK": 2, "TWIN_BLOCKS": 3, "TWIN_LARGEST": 2, "TWIN_SLAB": 1}.items():
+        monkeypatch.setattr(analysis, name, n)
+    blocks = analysis._twin_vectors(prof, "e", 3).groupBy("_n", "block").count().collect()
+    assert {r._n for r in blocks} == {30} and len(blocks) < 30  # more than TWIN_BLOCKS, and some are empty
+    got = analysis.behavioural_twins(prof, "e").collect()
+    assert len(got) == len(want) > 100 and {(r.entity_a, r.entity_b): (r.n_common, r.similarity) for r in got} == want
+
+
+def test_rounded_as_spark_rounds(spark):
+    x = [0.95005, 0.96875, 0.99995, 0.999949999999, 0.95015, 1.0000000002, -0.95005, 0.0, *np.random.default_rng(5).uniform(0.9, 1, 500), *(np.arange(9000, 10001) / 10000 + 0.00005)]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").orderBy("i")
+    assert analysis.rounded(np.array(x), 4).tolist() == [r.y for r in df.select(F.round("x", 4).alias("y")).collect()]
+
+
 def test_analysis_pieces(spark):
     rec = records(spark, [(u, c, t) for u in ("a/x", "b/y", "c/z") for c in "pqr" for t in range(0, 86400, 3600 if u[0] != "c" else 7200)])
     s = analysis.summary(rec, ["user", "channel"], F.col("channel") == "p", {"user": "people"}).first()
