@@ -198,6 +198,25 @@ def test_twins_in_bounded_blocks(spark, monkeypatch):
     assert len(got) == len(want) > 100 and {(r.entity_a, r.entity_b): (r.n_common, r.similarity) for r in got} == want
 
 
+def test_closest_twins_are_the_first_of_all(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(e), f"c{c}", int(rng.integers(1, 4))) for e in rng.permutation(90) for c in range(4) if rng.random() < 0.9]
+    prof = spark.createDataFrame([*rows, (None, "c1", 3)], "e long, channel string, events long")
+    whole = sorted((-r.similarity, r.entity_a, r.entity_b, r.n_common) for r in analysis.behavioural_twins(prof, "e").collect())
+    ones = sum(w[0] == -1 for w in whole)
+    assert 50 < ones < len(whole) - 100
+    compared, compare = [], analysis._compare_twins
+    monkeypatch.setattr(analysis, "_compare_twins", lambda cells, *a: compared.append(compare(cells, *a)) or compared[-1])
+    for name, n in {"TWIN_BLOCK": 16, "TWIN_LARGEST": 16, "TWIN_SLAB": 5}.items():
+        monkeypatch.setattr(analysis, name, n)
+    for first, most, jobs in ((10, 3, 1), (90, ones, 1), (10, ones, 2), (10, ones + 50, 2), (200, len(whole) + 9, 2)):
+        monkeypatch.setattr(analysis, "TWIN_FIRST", first)
+        compared.clear()
+        got = [(-r["similarity"], r["entity_a"], r["entity_b"], r["n_common"]) for r in analysis.closest_twins(prof, "e", most)]
+        assert got == whole[:most] and len(compared) == jobs, (first, most)
+        assert jobs == 1 or compared[-1].count() <= most * 21  # of six blocks
+
+
 def test_rounded_as_spark_rounds(spark):
     x = [0.95005, 0.96875, 0.99995, 0.999949999999, 0.95015, 1.0000000002, -0.95005, 0.0, *np.random.default_rng(5).uniform(0.9, 1, 500), *(np.arange(9000, 10001) / 10000 + 0.00005)]
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").orderBy("i")
