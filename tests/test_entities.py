@@ -94,6 +94,32 @@ def test_segment_features(spark):
     assert segments.segment_peaks(ev, ["user"], SamplingPlan.from_windows([1, 2], 1)).where("user = 'v'").count() == 2
 
 
+def test_peaks_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    plan = SamplingPlan.from_windows([2, 4, 12], 2, [2, 4, 6])
+    own = {f"u{k}": sorted(int(x) for x in rng.integers(0, n, m)) for k, (n, m) in enumerate([(40, 15), (6, 4), (3, 2), (500, 30), (300, 200), (9, 1)])}
+    own["u6"], own["u7"] = list(range(0, 40, 2)), [7, 7, 7, 300, 900, 901]
+    rec = records(spark, [(u, "a", o) for u, orders in own.items() for o in orders] + [(None, "a", 5), (None, "a", 50), (None, "a", 51)])
+    want = {}
+    for u, orders in own.items():
+        counts = np.bincount([(o - orders[0]) // 2 for o in orders])
+        for window, w, hop in zip(plan.windows, plan.scales, plan.hop_bins, strict=True):
+            means = np.array([counts[i : i + w].mean() for i in range(0, len(counts), hop)])
+            if len(counts) > 2 and np.ptp(means) > 0:
+                want[u, window] = pytest.approx(np.abs((means - means.mean()) / means.std()).max(), abs=1e-9)
+    for chunk in (4096, 1):  # a longest window of 6 makes chunks of 12 bins
+        monkeypatch.setattr(segments, "CHUNK", chunk)
+        got = segments.segment_peaks(segments.split_by_gap(rec, ["user"], 10_000), ["user"], plan).collect()
+        assert {(r.user, r.window): r.peak_z for r in got} == want and len(got) == len(want) > 10
+
+
+def test_peaks_hold_no_rows_of_bins(spark):
+    rec = records(spark, [("u", "a", o) for o in (0, 3000, 4000, 9000)])
+    out = segments.segment_peaks(segments.split_by_gap(rec, ["user"], 6000), ["user"], SamplingPlan.from_windows([5, 10, 20], 5))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and plan.count("Sort ") == 2  # the records of an entity, then of its segments
+
+
 def test_widths(spark):
     x = np.random.default_rng(1).gamma(2, 30, 400).round(2)
     df = spark.createDataFrame([(float(v),) for v in x], "gap double")
